@@ -37,7 +37,7 @@ def _whole(col, digits: int = 4):
     return F.array_join(scaled, " ")
 
 
-@query("fit_vocabulary", "SELECT word, n, idx FROM f_vocab")
+@query("fit_vocabulary", "SELECT word, n, n_docs, idx FROM f_vocab")
 def _(spark, sf):
     return _vocabulary(spark, sf)
 
@@ -69,10 +69,9 @@ def _(spark, sf):
 @query(
     "tfidf",
     """SELECT id, idx, round((1 + ln(tf)) * ln(1 + n_train / (1 + n_docs)), 6) AS tfidf FROM (
-         SELECT t.id, coalesce(v.idx, 1) AS idx, count(*) AS tf, max(coalesce(d.n_docs, 0)) AS n_docs,
+         SELECT t.id, coalesce(v.idx, 1) AS idx, count(*) AS tf, max(coalesce(v.n_docs, 0)) AS n_docs,
            (SELECT CAST(count(*) AS DOUBLE) FROM f_split WHERE split = 'train') AS n_train
          FROM f_tokens t LEFT JOIN f_vocab v ON t.word = v.word
-           LEFT JOIN (SELECT word, count(DISTINCT id) AS n_docs FROM f_train_tokens GROUP BY word) d ON t.word = d.word
          GROUP BY t.id, coalesce(v.idx, 1))""",
 )
 def _(spark, sf):
@@ -166,14 +165,14 @@ def _(spark, sf):
 
 @query("select_best_model")
 def _(spark, sf):
-    df = V.f_text(spark, sf)
+    df = V.f_split(spark, sf).drop("split")
     _model, losses = train.select_best_model(df, [TEXT], "aeciuo_2", "id", scratch_path(spark, "model"))
     return spark.createDataFrame(losses, "reg double, perdida double")
 
 
 @query("compare_strategies")
 def _(spark, sf):
-    df = V.f_text(spark, sf).select("id", "aeciuo_2", *FIELDS, TEXT)
+    df = V.f_split(spark, sf).drop("split")
     return train.compare_strategies(
         df,
         "aeciuo_2",

@@ -145,10 +145,10 @@ def _(spark, sf):
 
 @query(
     "low_confidence",
-    "SELECT vec_id, y_test, pbb_caso FROM f_predictions WHERE pbb_caso < CAST(0.2 AS DOUBLE)",
+    "SELECT vec_id, y_test, pbb_caso FROM f_predictions WHERE pbb_caso < CAST(0.13 AS DOUBLE)",
 )
 def _(spark, sf):
-    return quality.low_confidence(V.f_predictions(spark, sf), "pbb_caso").select("vec_id", "y_test", "pbb_caso")
+    return quality.low_confidence(V.f_predictions(spark, sf), "pbb_caso", 0.13).select("vec_id", "y_test", "pbb_caso")
 
 
 @query(

@@ -13,6 +13,7 @@ from codewave.functions import arrays as A
 from codewave.functions.codes import review_code
 from codewave.operators.assemble import stratified_split
 from codewave.operators.texts import combine_text, normalize_columns
+from codewave.session import spread_small, stage_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def two_digits(col: Column) -> Column:
 
 def f_resp(spark: SparkSession, sf: str) -> DataFrame:
     """Survey answers: the first words of a document as occupation, the rest as tasks."""
-    doc = table(spark, sf, "documents")
+    doc = spread_small(table(spark, sf, "documents"), "doc_id")
     i, n = F.col("doc_id"), F.substring("source", 4, 10).cast("int")
     words = F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")
     return doc.select(
@@ -51,7 +52,10 @@ def f_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f_split(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(f_text(spark, sf), "aeciuo_2", "id")
+    """Normalised answers with their split, written once for the passes of a fit."""
+    split = stratified_split(f_text(spark, sf), "aeciuo_2", "id")
+    cols = ["id", "aeciuo_2", "oficio_proc", "tareas_proc", "oficio_tarea", "split"]
+    return stage_table(split.select(*cols), "split")
 
 
 def f_audit(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,8 @@ import pyspark
 
 from codewave.functions.text import ACCENTED, TOKEN_SEPARATORS, UNACCENTED
 
-RUNS = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"
+WORD = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+RUNS = f"[{WORD}]+|[^{WORD}]+"
 
 
 def quote(text: str) -> str:
@@ -194,8 +195,8 @@ def views() -> dict[str, tuple[str, tuple[str, ...]]]:
             ("f_split",),
         ),
         "f_vocab": (
-            """SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, fid, fp) + 1 AS INTEGER) AS idx FROM (
-                 SELECT word, count(*) AS n, min((id, p))[1] AS fid, min((id, p))[2] AS fp FROM f_train_tokens GROUP BY word)""",
+            """SELECT word, n, n_docs, CAST(row_number() OVER (ORDER BY n DESC, fid, fp) + 1 AS INTEGER) AS idx FROM (
+                 SELECT word, count(*) AS n, count(DISTINCT id) AS n_docs, min((id, p))[1] AS fid, min((id, p))[2] AS fp FROM f_train_tokens GROUP BY word)""",
             ("f_train_tokens",),
         ),
         "f_vectors": (

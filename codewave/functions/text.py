@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüñçýÿÁÀÂÃÄÅÉ
 UNACCENTED = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
 # A text is the concatenation of its runs of word characters and of other characters.
-RUNS = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"
+RUNS = r"(?U)\w+|\W+"
 
 
 @lru_cache(maxsize=1)
@@ -33,13 +34,21 @@ def default_stoplist() -> tuple[str, ...]:
     return tuple(word for word in words if word != "no")
 
 
+@lru_cache(maxsize=8)
+def _literals(words: tuple[str, ...], application: str) -> tuple[Column, ...]:
+    """Literal columns of a word list, made once per application: a list has hundreds."""
+    return tuple(F.lit(word) for word in words)
+
+
 def remove_stopwords(col: Column, stoplist: Sequence[str] | None = None) -> Column:
     """Delete whole words of ``stoplist``; everything between words stays as it is."""
     stoplist = default_stoplist() if stoplist is None else tuple(stoplist)
     if not stoplist:
         return col
+    application = SparkContext.getOrCreate().applicationId
+    words = _literals(stoplist, application)
     runs = F.regexp_extract_all(col, F.lit(RUNS), F.lit(0))
-    return F.array_join(F.filter(runs, lambda run: ~run.isin(*stoplist)), "")
+    return F.array_join(F.filter(runs, lambda run: ~run.isin(*words)), "")
 
 
 def squish(col: Column) -> Column:

@@ -18,23 +18,33 @@ UNKNOWN_INDEX, FIRST_INDEX = 1, 2
 
 
 def fit_vocabulary(train: DataFrame, col: str, ident: str) -> DataFrame:
-    """``(word, n, idx)``: words by frequency, ties by first appearance, from index 2.
+    """``(word, n, n_docs, idx)``: words by frequency, ties by first appearance, from 2.
 
-    The word counts are written once; ranking them needs several passes.
+    Every token is one row, and so is every distinct word of an answer (marked by a
+    position of -1), so both counts come out of one pass with map-side sums. The counts
+    are written before they are ranked, and the vocabulary is written as well: it is
+    state that scoring needs, and Spark then knows its size when it joins to it.
     """
-    tokens = train.select(F.col(ident).alias("i"), F.posexplode(vocabulary_tokens(F.col(col))).alias("p", "word"))
-    counts = tokens.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "p")).alias("first")
+    tokens = vocabulary_tokens(F.col(col))
+    placed = F.transform(tokens, lambda w, p: F.struct(w.alias("word"), p.alias("p")))
+    once = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("word"), F.lit(-1).alias("p")))
+    rows = train.select(F.col(ident).alias("i"), F.explode(F.concat(placed, once)).alias("t"))
+    is_token = F.col("t.p") >= 0
+    counts = rows.groupBy("t.word").agg(
+        F.count(F.when(is_token, 1)).alias("n"),
+        F.count(F.when(~is_token, 1)).alias("n_docs"),
+        F.min(F.when(is_token, F.struct("i", "t.p"))).alias("first"),
     )
-    counts = stage_table(counts.select("word", "n", "first.i", "first.p"), "words")
+    counts = stage_table(counts.select("word", "n", "n_docs", "first.i", "first.p"), "words")
     ranked = exact_rank(counts, "n", "i", descending=True, tie_break=["p"])
-    return ranked.select("word", "n", (F.col("rank") + FIRST_INDEX - 1).cast("int").alias("idx"))
+    index = (F.col("rank") + FIRST_INDEX - 1).cast("int").alias("idx")
+    return stage_table(ranked.select("word", "n", "n_docs", index), "vocabulary")
 
 
 def encode_tokens(df: DataFrame, col: str, ident: str, vocab: DataFrame) -> DataFrame:
     """``(ident, pos, idx)``: one row per token, unknown words as 1."""
     tokens = df.select(ident, F.posexplode(vocabulary_tokens(F.col(col))).alias("pos", "word"))
-    return lookup(tokens, vocab.select("word", "idx"), ["word"]).select(
+    return tokens.join(vocab.select("word", "idx"), "word", "left").select(
         ident, "pos", F.coalesce("idx", F.lit(UNKNOWN_INDEX)).alias("idx")
     )
 
@@ -44,7 +54,7 @@ def encode_sequences(
 ) -> DataFrame:
     """``(ident, seq)``: token indices in text order, an empty array for an empty text."""
     tokens = df.select(ident, F.posexplode_outer(vocabulary_tokens(F.col(col))).alias("pos", "word"))
-    coded = lookup(tokens, vocab.select("word", "idx"), ["word"])
+    coded = tokens.join(vocab.select("word", "idx"), "word", "left")
     item = F.when(
         F.col("pos").isNotNull(),
         F.struct("pos", F.coalesce("idx", F.lit(UNKNOWN_INDEX)).alias("idx")),
@@ -57,27 +67,19 @@ def pad_sequences(df: DataFrame, seq: str, maxlen: int) -> DataFrame:
     return df.withColumn(seq, pad_sequence(F.col(seq), maxlen))
 
 
-def document_frequency(train: DataFrame, col: str) -> DataFrame:
-    """``(word, n_docs)``: answers that contain the word at least once."""
-    words = train.select(F.explode(F.array_distinct(vocabulary_tokens(F.col(col)))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
 def document_term_counts(df: DataFrame, col: str, ident: str) -> DataFrame:
     """``(ident, word, tf)``: how often a word occurs in an answer."""
     words = df.select(ident, F.explode(vocabulary_tokens(F.col(col))).alias("word"))
     return words.groupBy(ident, "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(train: DataFrame, df: DataFrame, col: str, ident: str, vocab: DataFrame) -> DataFrame:
-    """``(ident, idx, tfidf)`` with (1 + ln tf) * ln(1 + N / (1 + df)); unknown words have df 0.
-
-    The counts per word and the index form one reference table, so an answer's terms
-    are looked up once.
-    """
+def tfidf(
+    train: DataFrame, df: DataFrame, col: str, ident: str, vocab: DataFrame
+) -> DataFrame:
+    """``(ident, idx, tfidf)`` with (1 + ln tf) * ln(1 + N / (1 + df)); unknown words have df 0."""
     n_train = train.count()
-    reference = vocab.select("word", "idx").join(document_frequency(train, col), "word", "left")
-    terms = lookup(document_term_counts(df, col, ident), reference, ["word"])
+    terms = document_term_counts(df, col, ident)
+    terms = terms.join(vocab.select("word", "idx", "n_docs"), "word", "left")
     per_index = terms.groupBy(ident, F.coalesce("idx", F.lit(UNKNOWN_INDEX)).alias("idx")).agg(
         F.sum("tf").alias("tf"), F.max(F.coalesce("n_docs", F.lit(0))).alias("n_docs")
     )

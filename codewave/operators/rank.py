@@ -33,9 +33,20 @@ def _buckets(df: DataFrame) -> int:
     return max(2, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _present(col: Column) -> Column:
+    """NaN counts as missing."""
+    return F.when(~F.isnan(col), col)
+
+
 def _sortable(col: Column) -> Column:
     """As a double below infinity, missing values as NaN, which sorts after all others."""
-    return F.coalesce(F.least(col.cast("double"), F.lit(_LARGEST)), F.lit(float("nan")))
+    number = _present(col).cast("double")
+    finite = F.when(number > _LARGEST, F.lit(_LARGEST)).otherwise(number)
+    return F.coalesce(finite, F.lit(float("nan")))
+
+
+def _order(col: Column, descending: bool) -> Column:
+    return _present(col).desc_nulls_last() if descending else _present(col).asc_nulls_last()
 
 
 @dataclass(frozen=True)
@@ -111,12 +122,11 @@ def exact_rank(
     keyed = keyed.withColumns(group_keys) if group_keys else keyed
     groups = list(group_keys)
     keys = [*groups, "_b", "_s"]
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
 
     sizes = keyed.groupBy(keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(groups).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(keys).orderBy(order, F.col(ident), *tie_break)
+    within = Window.partitionBy(keys).orderBy(_order(F.col(value), descending), F.col(ident), *tie_break)
     numbered = keyed.withColumn("_row", F.row_number().over(within))
     return (
         numbered.join(offsets, keys)
@@ -136,10 +146,11 @@ class CutPoint:
     def covers(self, value: Column, ident: Column) -> Column:
         """True for rows at or before the cut; a plain predicate that can be pushed down."""
         same_id = ident <= F.lit(self.ident)
+        present = value.isNotNull() & ~F.isnan(value)
         if self.value is None:
-            return value.isNotNull() | same_id
+            return present | same_id
         cut = F.lit(self.value)
-        earlier = value > cut if self.descending else value < cut
+        earlier = (value > cut) & present if self.descending else value < cut
         return F.coalesce(earlier | ((value == cut) & same_id), F.lit(False))
 
 
@@ -147,7 +158,7 @@ def kth_smallest(
     df: DataFrame, value: str, ident: str, k: int, *, descending: bool = False
 ) -> CutPoint | None:
     """The k-th row by ``value`` (missing last), ties broken by the unique ``ident``."""
-    rows = df.select(F.col(value).alias("v"), F.col(ident).alias("i"))
+    rows = df.select(_present(F.col(value)).alias("v"), F.col(ident).alias("i"))
     if k <= 0:
         return None
     buckets = _buckets(df)
@@ -164,8 +175,7 @@ def kth_smallest(
         if size == n:
             break
         rows, n = keyed.filter((F.col("_b") == b) & (F.col("_s") == s)).select("v", "i"), size
-    order = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last()
-    found = rows.orderBy(order, "i").offset(k - 1).limit(1).collect()
+    found = rows.orderBy(_order(F.col("v"), descending), "i").offset(k - 1).limit(1).collect()
     return CutPoint(found[0]["v"], found[0]["i"], descending) if found else None
 
 
