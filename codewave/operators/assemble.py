@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from codewave.functions.nulls import code_text
 from codewave.operators.joins import lookup
@@ -18,14 +19,16 @@ LAST_WAVE = 24
 WAVE_ORDER = (*TRIAL_WAVES, *range(1, LAST_WAVE + 1))
 
 
-def wave_number(col: Column) -> Column:
-    return col.cast("string").try_cast("double").try_cast("int")
+def wave_number(df: DataFrame, wave: str) -> Column:
+    """A wave as a whole number; a numeric column is used as it is, so filters reach the scan."""
+    if isinstance(df.schema[wave].dataType, IntegralType):
+        return df[wave]
+    return df[wave].cast("string").try_cast("double").try_cast("int")
 
 
-def wave_order(col: Column, order: Sequence[int] = WAVE_ORDER) -> Column:
+def wave_order(number: Column, order: Sequence[int] = WAVE_ORDER) -> Column:
     """Survey position 1..n of a wave; null for an unknown one."""
-    number = wave_number(col)
-    position = F.array_position(F.array(*[F.lit(w) for w in order]), number)
+    position = F.array_position(F.array(*[F.lit(w) for w in order]), number.cast("int"))
     return F.when(position > 0, position.cast("int"))
 
 
@@ -33,17 +36,17 @@ def ordered_waves(
     df: DataFrame, wave: str, order: Sequence[int] = WAVE_ORDER, out: str = "wave_order"
 ) -> DataFrame:
     """Add the survey position of each wave; sort by it with nulls last."""
-    return df.withColumn(out, wave_order(F.col(wave), order))
+    return df.withColumn(out, wave_order(wave_number(df, wave), order))
 
 
 def wave_window(df: DataFrame, wave: str, current: int) -> DataFrame:
     """Rows of waves that precede ``current`` in survey order."""
-    number = wave_number(F.col(wave))
+    number = wave_number(df, wave)
     if current >= min(TRIAL_WAVES):
         before = (number > LAST_WAVE) & (number < current)
     else:
         before = (number >= min(TRIAL_WAVES)) | (number < current)
-    return df.filter(before).withColumn(wave, number)
+    return df.filter(before).withColumn(wave, number.cast("int"))
 
 
 def seq_in_group(
@@ -99,7 +102,7 @@ def temporal_split(
     out: str = "split",
 ) -> DataFrame:
     """Train on older origins and trial waves, test on later waves of the current survey."""
-    number = wave_number(F.col(wave))
+    number = wave_number(df, wave)
     is_current = F.col(origin) == current
     train = F.coalesce(~is_current | number.isin(*TRIAL_WAVES), F.lit(False))
     test = F.coalesce(is_current & (number >= cut) & (number < min(TRIAL_WAVES)), F.lit(False))

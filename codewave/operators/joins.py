@@ -8,22 +8,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codewave.session import stage_table
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 
 
+def _small_copy(df: DataFrame, max_rows: int, max_bytes: int) -> DataFrame | None:
+    """``df`` computed and held as a local frame, or None when it is not small.
+
+    At most ``max_rows + 1`` rows are fetched to find out.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows or head.nbytes > max_bytes:
+        return None
+    return df.sparkSession.createDataFrame(head, schema=df.schema)
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``df`` as a broadcast side once its size is known to be small, else ``df`` itself.
 
-    At most ``max_rows + 1`` rows are fetched to find out. A larger table is left to
-    a shuffled join, where adaptive execution splits the hot keys.
+    A larger table is left to a shuffled join, where adaptive execution splits hot keys.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > max_bytes:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+    copy = _small_copy(df, max_rows, max_bytes)
+    return df if copy is None else F.broadcast(copy)
+
+
+def compute_once(df: DataFrame, name: str) -> DataFrame:
+    """An aggregate that feeds several passes: held locally if small, else written."""
+    copy = _small_copy(df, BROADCAST_ROWS, BROADCAST_BYTES)
+    return stage_table(df, name) if copy is None else copy
 
 
 def _keys_equal(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codewave.functions.nulls import count_if, is_in, mean_or_null, sum_or_null
 from codewave.operators.assemble import floor_share, ordered_waves
-from codewave.operators.joins import lookup
+from codewave.operators.joins import compute_once, lookup
 from codewave.operators.rank import exact_rank, kth_smallest
 from codewave.operators.triage import exclude_listed
 
@@ -35,7 +35,7 @@ def accuracy_top_confidence(
     df: DataFrame, hit: str, confidence: str, ident: str, p: float = 0.3
 ) -> DataFrame:
     """Mean hit over the floor(n * p) most confident rows."""
-    cut = kth_smallest(df, confidence, ident, floor_share(df.count(), p), descending=True)
+    cut = kth_smallest(df, confidence, ident, lambda n: floor_share(n, p), descending=True)
     top = df.limit(0) if cut is None else df.filter(cut.covers(F.col(confidence), F.col(ident)))
     return accuracy_overall(top, hit)
 
@@ -103,6 +103,7 @@ def _pairs_in_range(df: DataFrame, truth: str, predicted: str) -> tuple[DataFram
     pairs = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    pairs = compute_once(pairs, "pairs")
     span = pairs.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     return pairs, span
 
@@ -219,8 +220,8 @@ def agreement_by_code(
 
 def agreement_summary(df: DataFrame, flag: str) -> DataFrame:
     """Rows and share of all rows per flag."""
-    counts = df.groupBy(flag).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = compute_once(df.groupBy(flag).agg(F.count(F.lit(1)).alias("n")), "flags")
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("prop", F.col("n") / total)
 
 

@@ -15,7 +15,7 @@ import math
 import sys
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -155,14 +155,18 @@ class CutPoint:
 
 
 def kth_smallest(
-    df: DataFrame, value: str, ident: str, k: int, *, descending: bool = False
+    df: DataFrame, value: str, ident: str, k: int | Callable[[int], int], *, descending: bool = False
 ) -> CutPoint | None:
-    """The k-th row by ``value`` (missing last), ties broken by the unique ``ident``."""
+    """The k-th row by ``value`` (missing last), ties broken by the unique ``ident``.
+
+    ``k`` may depend on the number of rows, which is counted anyway.
+    """
     rows = df.select(_present(F.col(value)).alias("v"), F.col(ident).alias("i"))
+    n = rows.count()
+    k = k(n) if callable(k) else k
     if k <= 0:
         return None
     buckets = _buckets(df)
-    n = rows.count()
     while n > SELECT_ROWS:
         bounds = _boundaries(rows, F.col("v"), F.col("i"), buckets)
         keyed = _with_buckets(rows, F.col("v"), F.col("i"), bounds, descending)

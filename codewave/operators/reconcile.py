@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codewave.functions.codes import agreement_text, pad_single_digit
 from codewave.functions.nulls import code_text, count_if, is_in
 from codewave.functions.text import SENTINEL_TEXTS
-from codewave.operators.joins import lookup, null_safe_join
+from codewave.operators.joins import compute_once, lookup, null_safe_join
 
 NO_CODE = 999
 # Codes of the earlier classification that have no counterpart.
@@ -75,6 +75,11 @@ def repair_text(
     return null_safe_join(kept, source, keys, "inner")
 
 
+def _one_code(table: DataFrame, keys: Sequence[str], code: Column, name: str) -> DataFrame:
+    """One correction per key, so that a row is never doubled: the lowest of several."""
+    return table.groupBy(*keys).agg(F.min(code).alias(name))
+
+
 def patch_codes(
     df: DataFrame,
     code: str,
@@ -85,7 +90,7 @@ def patch_codes(
     candidates = []
     for i, (table, keys) in enumerate(patches):
         name = f"_patch_{i}"
-        df = lookup(df, table.select(*keys, F.col(new_code).alias(name)).dropDuplicates(list(keys)), keys)
+        df = lookup(df, _one_code(table, keys, F.col(new_code), name), keys)
         candidates.append(name)
     chosen = F.coalesce(*[F.col(c) for c in candidates], F.col(code))
     return df.withColumn(code, chosen).drop(*candidates)
@@ -100,7 +105,7 @@ def overlay_recode(
     when: Column | None = None,
 ) -> DataFrame:
     """Late recodes replace the code where they have one and ``when`` holds."""
-    late = recodes.select(*keys, F.col(new_code).cast("string").alias("_late")).dropDuplicates(list(keys))
+    late = _one_code(recodes, keys, F.col(new_code).cast("string"), "_late")
     applies = F.col("_late").isNotNull()
     if when is not None:
         applies = applies & F.coalesce(when, F.lit(False))
@@ -149,10 +154,9 @@ def label_keys(df: DataFrame, label: str, out: str = "codigo_int") -> DataFrame:
 
 
 def index_labels(df: DataFrame, label: str, out: str = "codigo_int") -> tuple[DataFrame, DataFrame]:
-    """``(keys, df)``: the label index and the rows with their index joined on."""
-    keys = label_keys(df, label, out)
-    indexed = lookup(df.withColumn(label, code_text(df, label)), keys, [label])
-    return keys, indexed
+    """``(keys, df)``: the label index, computed once, and the rows with their index."""
+    keys = compute_once(label_keys(df, label, out), "keys")
+    return keys, lookup(df.withColumn(label, code_text(df, label)), keys, [label])
 
 
 def label_coverage(

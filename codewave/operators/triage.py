@@ -38,7 +38,7 @@ def triage_split(
     A small ratio of the two best probabilities means hard. The last row of the human
     part is located first; both parts are then plain filters on the source.
     """
-    cut = kth_smallest(df, difficulty, ident, floor_share(df.count(), 1 - p_auto))
+    cut = kth_smallest(df, difficulty, ident, lambda n: floor_share(n, 1 - p_auto))
     if cut is None:
         return df.limit(0), df
     human = cut.covers(F.col(difficulty), F.col(ident))
@@ -136,7 +136,7 @@ def attach_predictions(
     joined = joined.withColumns(
         {
             flag: F.lower(F.col(flag)),
-            wave: wave_number(F.col(wave)),
+            wave: wave_number(joined, wave),
             code: as_number(F.col(code).cast("string")),
         }
     )
