@@ -255,7 +255,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     a, b = V.f_reviewed(spark, sf), V.f_complete(spark, sf)
-    return reconcile.reconcile_sources(a, b, ["folio", "n_linea"], "ciuo_08cl_rev", "ciuo_08cl")
+    return reconcile.reconcile_sources(
+        a, b, ["folio", "n_linea"], "ciuo_08cl_rev", "ciuo_08cl", nullable_keys=False
+    )
 
 
 @query(

@@ -25,17 +25,25 @@ def fit_vocabulary(train: DataFrame, col: str, ident: str) -> DataFrame:
     are written before they are ranked, and the vocabulary is written as well: it is
     state that scoring needs, and Spark then knows its size when it joins to it.
     """
+    places = F.lit(10_000_000_000).cast("decimal(11,0)")
     tokens = vocabulary_tokens(F.col(col))
     placed = F.transform(tokens, lambda w, p: F.struct(w.alias("word"), p.alias("p")))
     once = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("word"), F.lit(-1).alias("p")))
     rows = train.select(F.col(ident).alias("i"), F.explode(F.concat(placed, once)).alias("t"))
     is_token = F.col("t.p") >= 0
+    # Answer and position as one decimal: unlike a struct it is summed up by hashing.
+    place = F.col("i").cast("decimal(20,0)") * places + F.col("t.p")
     counts = rows.groupBy("t.word").agg(
         F.count(F.when(is_token, 1)).alias("n"),
         F.count(F.when(~is_token, 1)).alias("n_docs"),
-        F.min(F.when(is_token, F.struct("i", "t.p"))).alias("first"),
+        F.min(F.when(is_token, place.cast("decimal(38,0)"))).alias("first"),
     )
-    counts = stage_table(counts.select("word", "n", "n_docs", "first.i", "first.p"), "words")
+    position = F.pmod("first", places)
+    first_answer = (F.col("first") - position) / places
+    counts = counts.select(
+        "word", "n", "n_docs", first_answer.cast("bigint").alias("i"), position.cast("int").alias("p")
+    )
+    counts = stage_table(counts, "words")
     ranked = exact_rank(counts, "n", "i", descending=True, tie_break=["p"])
     index = (F.col("rank") + FIRST_INDEX - 1).cast("int").alias("idx")
     return stage_table(ranked.select("word", "n", "n_docs", index), "vocabulary")

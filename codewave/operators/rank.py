@@ -75,7 +75,8 @@ def _bucketize(df: DataFrame, source: str, target: str, splits: list[float]) ->
     if len(splits) < 3:
         return df.withColumn(target, F.lit(0))
     cut = Bucketizer(splits=splits, inputCol=source, outputCol="_cut", handleInvalid="keep")
-    return cut.transform(df).withColumn(target, F.col("_cut").cast("int")).drop("_cut")
+    bucket = F.coalesce(F.col("_cut").cast("int"), F.lit(_LAST_BUCKET))
+    return cut.transform(df).withColumn(target, bucket).drop("_cut")
 
 
 def _with_buckets(
@@ -126,7 +127,9 @@ def exact_rank(
     sizes = keyed.groupBy(keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(groups).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(keys).orderBy(_order(F.col(value), descending), F.col(ident), *tie_break)
+    within = Window.partitionBy(keys).orderBy(
+        _order(F.col(value), descending), F.col(ident).asc_nulls_last(), *tie_break
+    )
     numbered = keyed.withColumn("_row", F.row_number().over(within))
     return (
         numbered.join(offsets, keys)

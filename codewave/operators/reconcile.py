@@ -42,12 +42,13 @@ def reconcile_sources(
     code_b: str,
     out: str = "aeciuo_2",
     reviewed_only: bool = False,
+    nullable_keys: bool = True,
 ) -> DataFrame:
     """Full outer join; the reviewed code stands where there is one."""
     how = "left" if reviewed_only else "full"
     if reviewed_only:
         reviewed = reviewed.filter(F.col(code_a).isNotNull())
-    joined = null_safe_join(reviewed, complete, keys, how)
+    joined = null_safe_join(reviewed, complete, keys, how, nullable_keys)
     joined = joined.withColumn(out, F.coalesce(F.col(code_a), F.col(code_b)))
     return joined.filter(~is_in(F.col(out), UNMAPPED_CODES))
 
@@ -67,12 +68,16 @@ def subset_audit(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def repair_text(
-    damaged: DataFrame, good: DataFrame, keys: Sequence[str], cols: Mapping[str, str]
+    damaged: DataFrame,
+    good: DataFrame,
+    keys: Sequence[str],
+    cols: Mapping[str, str],
+    nullable_keys: bool = True,
 ) -> DataFrame:
     """Replace damaged columns by those of the raw file; ``cols`` maps damaged to good."""
     kept = damaged.drop(*cols)
     source = good.select(*keys, *[F.col(g).alias(d) for d, g in cols.items()])
-    return null_safe_join(kept, source, keys, "inner")
+    return null_safe_join(kept, source, keys, "inner", nullable_keys)
 
 
 def _one_code(table: DataFrame, keys: Sequence[str], code: Column, name: str) -> DataFrame:

@@ -126,12 +126,13 @@ def attach_predictions(
     flag: str = "predice",
     wave: str = "submuestra",
     excluded_waves: Sequence[int] = (11, 12),
+    nullable_keys: bool = True,
 ) -> DataFrame:
     """Earlier predictions with the human code, the hit flag and the agreement flag.
 
     The hit flag compares the codes as text, before they become numbers.
     """
-    joined = null_safe_join(predictions, human.drop(wave), keys, "left")
+    joined = null_safe_join(predictions, human.drop(wave), keys, "left", nullable_keys)
     joined = joined.withColumn("predice2", (F.col(predicted) == F.col(code)).cast("int"))
     joined = joined.withColumns(
         {

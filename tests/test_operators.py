@@ -17,6 +17,14 @@ def test_null_keys_match(spark, rows):
     assert rows(joins.null_safe_join(b, a, ["k"], "left_anti"), "m") == [(30,)]
 
 
+def test_keys_that_are_never_missing_use_plain_equality(spark, rows):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "n int, k string")
+    b = spark.createDataFrame([("x", 20), ("z", 30)], "k string, m int")
+    safe = joins.null_safe_join(a, b, ["k"], "full")
+    plain = joins.null_safe_join(a, b, ["k"], "full", nullable_keys=False)
+    assert rows(safe, "k", "n", "m") == rows(plain, "k", "n", "m")
+
+
 def test_large_table_is_not_broadcast(spark):
     table = spark.range(1000).withColumnRenamed("id", "k")
     assert joins.broadcast_if_small(table, max_rows=999) is table
@@ -150,6 +158,13 @@ def test_vocabulary_order_and_unknown_words(spark, rows):
     assert rows(padded) == [(7, [1, 2]), (8, [0, 0]), (9, [0, 0])]
 
 
+def test_vocabulary_with_large_ids(spark, rows):
+    big = 2**62
+    train = spark.createDataFrame([(big + 1, "x y"), (big, "z w z"), (big + 2, "y x w")], "id long, t string")
+    vocab = features.fit_vocabulary(train, "t", "id")
+    assert [r[1] for r in rows(vocab, "idx", "word")] == ["z", "w", "x", "y"]
+
+
 def test_pooling(spark):
     tokens = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 1)], "id long, idx int")
     vectors = spark.createDataFrame([(2, [1.0, -2.0]), (3, [4.0, -1.0])], "idx int, embedding array<float>")

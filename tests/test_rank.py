@@ -52,6 +52,12 @@ def test_exact_rank_per_group(frame):
     assert got == want
 
 
+def test_no_row_is_lost_without_an_id(spark):
+    df = spark.createDataFrame([(None, 1.0), (3, 1.0), (1, 1.0), (2, None)], "id long, v double")
+    got = {(r["id"], r["rank"]) for r in R.exact_rank(df, "v", "id").collect()}
+    assert got == {(1, 1), (3, 2), (None, 3), (2, 4)}
+
+
 def test_hot_value_is_cut_into_many_buckets(spark, frame):
     bounds = R._boundaries(frame, F.col("v"), F.col("id"), 32)
     keyed = R._with_buckets(frame, F.col("v"), F.col("id"), bounds, False)
