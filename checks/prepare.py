@@ -51,7 +51,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = V.f_person(spark, sf)
-    waves = [df.filter(F.pmod("folio", F.lit(5)) == w) for w in range(5)]
+    turn = F.col("orden")
+    waves = [df.filter(turn == 0), df.filter(turn == 1), df.filter(turn >= 2)]
     numbered = readers.load_person_waves(waves, ["AE09A", "AE09B"], "folio", "orden")
     return numbered.select(F.col("AE09A").alias("ae09a"), F.col("AE09B").alias("ae09b"), "folio", "nro_rph")
 
@@ -298,22 +299,22 @@ def _(spark, sf):
 @query(
     "final_code_from_review",
     """SELECT interview_id, CASE WHEN predice_bien IS NULL THEN NULL WHEN predice_bien = 1 THEN CAST(prediccion_modelo AS BIGINT)
-         ELSE CAST(codigo_final AS BIGINT) END AS codigo FROM f_technical_file""",
+         ELSE CAST(codigo_final AS BIGINT) END AS codigo FROM f_technical_rows""",
 )
 def _(spark, sf):
     code = C.final_code_from_review(F.col("predice_bien"), F.col("prediccion_modelo"), F.col("codigo_final").cast("string"))
-    return V.f_technical_file(spark, sf).select("interview_id", code.alias("codigo"))
+    return V.f_technical_rows(spark, sf).select("interview_id", code.alias("codigo"))
 
 
 @query(
     "recode_specials",
     """SELECT interview_id, CASE WHEN c = '3' THEN '03' ELSE c END AS codigo FROM (
          SELECT interview_id, CAST(CASE WHEN codigo = 'Recuperar' THEN -66 WHEN codigo IS NULL THEN -77
-           ELSE CAST(codigo AS BIGINT) END AS VARCHAR) AS c FROM f_human_file) WHERE c NOT IN ('-66', '-88')""",
+           ELSE CAST(codigo AS BIGINT) END AS VARCHAR) AS c FROM f_human_rows) WHERE c NOT IN ('-66', '-88')""",
 )
 def _(spark, sf):
     code = C.missing_to_special(C.recover_code(F.col("codigo")))
-    return reconcile.recode_specials(V.f_human_file(spark, sf).select("interview_id", code.alias("codigo")), "codigo")
+    return reconcile.recode_specials(V.f_human_rows(spark, sf).select("interview_id", code.alias("codigo")), "codigo")
 
 
 @query(

@@ -145,27 +145,39 @@ def f_hits(spark: SparkSession, sf: str) -> DataFrame:
 IDS = ["interview_id", "interview_key", "submuestra", "nro_rph"]
 
 
-def f_human_file(spark: SparkSession, sf: str) -> DataFrame:
+HARD = 200_000.0
+
+
+def f_human_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every coding as the human coders' file would have it."""
     df, k = f_codings(spark, sf), F.col("interview_id")
-    return df.filter(k % 2 == 0).select(
-        *IDS,
-        F.col("pred").alias("prediccion_modelo"),
-        F.when(k % 41 != 0, F.when(k % 37 == 0, F.lit("Recuperar")).otherwise(F.col("human"))).alias("codigo"),
-        "predice",
+    entry = F.when(k % 41 != 0, F.when(k % 37 == 0, F.lit("Recuperar")).otherwise(F.col("human")))
+    return df.select(
+        *IDS, F.col("pred").alias("prediccion_modelo"), entry.alias("codigo"), "predice", "dificultad"
     )
 
 
-def f_technical_file(spark: SparkSession, sf: str) -> DataFrame:
-    df = f_codings(spark, sf).filter(F.col("interview_id") % 2 == 1)
-    return df.select(
+def f_technical_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every coding as the technical file would have it."""
+    return f_codings(spark, sf).select(
         *IDS,
         F.col("pred").alias("prediccion_modelo"),
         (F.col("pred") == F.col("human")).cast("int").alias("predice_bien"),
         F.col("human").cast("int").alias("codigo_final"),
         F.lit("A").alias("persona_codifica"),
+        "dificultad",
     )
 
 
+def f_human_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The hard codings, which people looked at; the technical file has all others."""
+    return f_human_rows(spark, sf).filter(F.col("dificultad") < HARD).drop("dificultad")
+
+
+def f_technical_file(spark: SparkSession, sf: str) -> DataFrame:
+    return f_technical_rows(spark, sf).filter(F.col("dificultad") >= HARD).drop("dificultad")
+
+
 def f_recodes(spark: SparkSession, sf: str) -> DataFrame:
     """Late recodes of two codes."""
     df = f_codings(spark, sf).filter(F.col("pred").isin("03", "09"))

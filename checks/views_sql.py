@@ -140,18 +140,19 @@ def views() -> dict[str, tuple[str, tuple[str, ...]]]:
             "SELECT *, CAST(pred = human AS INTEGER) AS predice2 FROM f_codings WHERE human IS NOT NULL",
             ("f_codings",),
         ),
-        "f_human_file": (
+        "f_human_rows": (
             """SELECT interview_id, interview_key, submuestra, nro_rph, pred AS prediccion_modelo,
                  CASE WHEN interview_id % 41 <> 0 THEN CASE WHEN interview_id % 37 = 0 THEN 'Recuperar' ELSE human END END AS codigo,
-                 predice FROM f_codings WHERE interview_id % 2 = 0""",
+                 predice, dificultad FROM f_codings""",
             ("f_codings",),
         ),
-        "f_technical_file": (
+        "f_technical_rows": (
             """SELECT interview_id, interview_key, submuestra, nro_rph, pred AS prediccion_modelo,
-                 CAST(pred = human AS INTEGER) AS predice_bien, CAST(human AS INTEGER) AS codigo_final
-               FROM f_codings WHERE interview_id % 2 = 1""",
+                 CAST(pred = human AS INTEGER) AS predice_bien, CAST(human AS INTEGER) AS codigo_final, dificultad FROM f_codings""",
             ("f_codings",),
         ),
+        "f_human_file": ("SELECT * FROM f_human_rows WHERE dificultad < 200000", ("f_human_rows",)),
+        "f_technical_file": ("SELECT * FROM f_technical_rows WHERE dificultad >= 200000", ("f_technical_rows",)),
         "f_recodes": (
             """SELECT interview_id, interview_key, submuestra, nro_rph, CASE WHEN nro_rph <> 2 THEN '77' END AS codigo_final
                FROM f_codings WHERE pred IN ('03', '09')""",
