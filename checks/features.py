@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as V
-from checks import views_sql as S
 from checks.registry import query
 from codewave.functions import arrays as A
 from codewave.operators import features, score, train

@@ -72,5 +72,5 @@ def null_safe_join(
 def lookup(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Null-safe join to a reference table that is broadcast if it proves small."""
+    """Null-safe join to a table that is broadcast if it proves small."""
     return null_safe_join(df, broadcast_if_small(table), on, how)
