@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.views_sql import with_views
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,7 +14,14 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """The SQL of every query behind its views; built on demand, nothing is read at import."""
+    from checks.views_sql import with_views
+
+    return {name: with_views(sql) for name, sql in ORACLES.items()}

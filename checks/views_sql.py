@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import zipfile
-from functools import lru_cache
 
-import pyspark
-
-from codewave.functions.text import ACCENTED, TOKEN_SEPARATORS, UNACCENTED
+from codewave.functions.text import ACCENTED, TOKEN_SEPARATORS, UNACCENTED, default_stoplist
 
 WORD = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200c}\x{200d}"
 RUNS = f"[{WORD}]+|[^{WORD}]+"
@@ -20,17 +14,8 @@ def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@lru_cache(maxsize=1)
-def stoplist() -> list[str]:
-    """Spark's Spanish stop words, read from its jar so that no session is needed."""
-    pattern = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    with zipfile.ZipFile(glob.glob(pattern)[0]) as jar:
-        text = jar.read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode("utf-8")
-    return [w for w in text.split() if w != "no"]
-
-
 def remove_stopwords(expr: str, words: list[str] | None = None) -> str:
-    listed = ", ".join(quote(w) for w in (stoplist() if words is None else words))
+    listed = ", ".join(quote(w) for w in (default_stoplist() if words is None else words))
     return (
         f"coalesce(array_to_string([t for t in regexp_extract_all({expr}, {quote(RUNS)}) "
         f"if t NOT IN ({listed})], ''), CASE WHEN {expr} IS NOT NULL THEN '' END)"

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark import SparkContext
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,11 +26,46 @@ UNACCENTED = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 RUNS = r"(?U)\w+|\W+"
 
 
+# Spanish function words of the public Snowball list, without 'no', which
+# carries meaning in an answer.
+FUNCTION_WORDS = """
+de la que el en y a los del se las por un para con una su al lo como más pero sus le ya o este
+sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante
+todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro otras
+otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo
+nosotros mi mis tú te ti tu tus ellas nosotras vosostros vosostras os mío mía míos mías tuyo tuya
+tuyos tuyas suyo suya suyos suyas nuestro nuestra nuestros nuestras vuestro vuestra vuestros
+vuestras esos esas
+"""
+# Forms of estar, haber, ser, sentir and tener that follow no common ending.
+VERB_FORMS = """
+estoy estás está estamos estáis están esté estés estemos estéis estén estaba estabas estábamos
+estabais estaban estando estado estada estados estadas estad he has ha hemos habéis han haya
+hayas hayamos hayáis hayan había habías habíamos habíais habían habiendo habido habida habidos
+habidas soy eres es somos sois son sea seas seamos seáis sean era eras éramos erais eran fui
+fuiste fue fuimos fuisteis fueron fuera fueras fuéramos fuerais fueran fuese fueses fuésemos
+fueseis fuesen sintiendo sentido sentida sentidos sentidas siente sentid tengo tienes tiene
+tenemos tenéis tienen tenga tengas tengamos tengáis tengan tenía tenías teníamos teníais tenían
+teniendo tenido tenida tenidos tenidas tened
+"""
+# Stems and endings of the forms that follow a rule.
+FUTURE = ("estar habr ser tendr", "é ás á emos éis án ía ías íamos íais ían")
+PAST = (
+    "estuv hub tuv",
+    "e iste o imos isteis ieron iera ieras iéramos ierais ieran iese ieses iésemos ieseis iesen",
+)
+
+
 @lru_cache(maxsize=1)
 def default_stoplist() -> tuple[str, ...]:
-    """Spark's Spanish stop words without 'no', which carries meaning in an answer."""
-    words = StopWordsRemover.loadDefaultStopWords("spanish")
-    return tuple(word for word in words if word != "no")
+    """The Spanish stop words that are removed by default; any other list can be given."""
+    ruled = [
+        stem + ending
+        for stems, endings in (FUTURE, PAST)
+        for stem in stems.split()
+        for ending in endings.split()
+    ]
+    return (*FUNCTION_WORDS.split(), *VERB_FORMS.split(), *ruled)
 
 
 @lru_cache(maxsize=8)
