@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewave.llm import bpe, exact_dedup, langid, mixing, quality, sharding, simhash
+from codewave.llm import bpe, exact_dedup, langid, minhash, mixing, pii, quality, sharding, simhash
 from codewave.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = labels.filter(~held).select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
     scored = quality.classify(docs, learned)
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
