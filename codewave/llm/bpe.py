@@ -266,6 +266,20 @@ def _digests(ids: pa.ListArray, texts: list[str]):
     return prepare
 
 
+def token_lists(ids: pa.ListArray, texts: list[str]):
+    """For the words of a block: a function from positions to the ids and the digest columns."""
+    digests = _digests(ids, texts)
+
+    def prepare(places: np.ndarray) -> tuple:
+        taken = ids.take(pa.array(places, pa.int64())).flatten()
+        return (taken.to_numpy(zero_copy_only=False), *digests(places))
+
+    return prepare
+
+
+TOKEN_LISTS = (token_lists, [T.StructField("ids", T.ArrayType(T.IntegerType())), *_OUT.fields[1:]])
+
+
 def read_definition(path: str) -> str:
     """The JSON text of a tokenizer file; the path is the caller's parameter."""
     return Path(path).read_text(encoding="utf-8")

@@ -213,3 +213,26 @@ def classify(
     scored = score(stats, train(stats, labels))
     predicted = (F.col("score") >= threshold).cast("int")
     return scored.withColumn("predicted", predicted).withColumnRenamed("id", id_col)
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7
+) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns.
+
+    The trees learn from the documents of a bounded sample of the labels (id, y); scoring
+    is one pass over the texts in which no row is moved.
+    """
+    chosen = bounded_sample(labels.filter("y IS NOT NULL AND id IS NOT NULL"), "id", None, SAMPLE_ROWS)
+    known = F.broadcast(chosen.select(F.col("id").alias("_id")).distinct())  # SAMPLE_ROWS at most, about
+    learned = docs.join(known, docs[id_col] == known["_id"], "left_semi")
+    forest = train(document_statistics(learned, id_col, text_col), labels)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics(t.as_py() or "") for t in batch.column(at)]
+            x = np.stack(rows) if rows else np.zeros((0, len(FEATURES)), np.float32)
+            yield batch.filter(pa.array(forest.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

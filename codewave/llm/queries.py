@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewave.llm import bpe, exact_dedup, langid, minhash, mixing, pii, quality, sharding, simhash
@@ -66,14 +66,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words_per_shingle=4, bits=4)
 
 
-def _fold(column: str, folds: int):
+def fold(column: str, folds: int) -> Column:
+    """Remainder of the checksum of a column as text."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % folds
 
 
 @query
 def op2_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = _fold("doc_id", 5) == 0
+    held = fold("doc_id", 5) == 0
     model = langid.learn(docs.filter(~held).select(F.col("doc_id").alias("id"), "lang", "text"))
     scored = langid.predict(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "lang_pred", "score")
@@ -82,7 +83,7 @@ def op2_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = _fold("doc_id", 4) == 2
+    held = fold("doc_id", 4) == 2
     learned = labels.filter(~held).select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
     scored = quality.classify(docs, learned)
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
