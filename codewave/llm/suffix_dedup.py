@@ -53,8 +53,9 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, and a value for every byte."""
     size = TEXT_PART + LENGTH + 1
     inverse = pow(_BASE, -1, 1 << 64)
-    up = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE)]).astype(np.uint64))
-    down = np.cumprod(np.concatenate([[1], np.full(size - 1, inverse)]).astype(np.uint64))
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, inverse, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
     values = np.random.default_rng(400).integers(1, 1 << 63, 256).astype(np.uint64)
     return up, down, values
 
@@ -150,16 +151,21 @@ def repeated_windows(texts: list[np.ndarray], counts: list[int]) -> list[np.ndar
 
 
 def _common_prefixes(lead, before, starts, counts) -> np.ndarray:
-    """Kasai's rule, for all intervals side by side: the common prefix shrinks by one byte
-    at most from one position to the next. Bytes are compared eight at a time."""
+    """Kasai's rule, for all intervals side by side: when a window and its neighbour move on
+    together, their common prefix shrinks by one byte at most. Only a part of all suffixes
+    is in the order, so the rule is used where the neighbour did move on, and nowhere else.
+    Bytes are compared eight at a time."""
     common = np.zeros(len(lead), np.int64)
     last = len(lead) - 1
     h = np.zeros(len(starts), np.int64)
+    neighbour = np.full(len(starts), -2)
     for step in range(counts.max()):
         live = np.flatnonzero(counts > step)
         i = starts[live] + step
         j = before[i]
-        have = np.where(j >= 0, np.maximum(h[live] - 1, 0), 0)
+        along = (j >= 0) & (j == neighbour[live] + 1)
+        have = np.where(along, np.maximum(h[live] - 1, 0), 0)
+        neighbour[live] = np.where(j >= 0, j, -2)
         open_ = np.flatnonzero((j >= 0) & (have < LENGTH))
         while len(open_):
             at = have[open_]
