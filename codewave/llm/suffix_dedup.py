@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewave.session import stage_table
@@ -41,8 +41,8 @@ LENGTH = 400
 PIECE = 128
 WINDOWS = LENGTH - PIECE + 1  # pieces in a window
 TEXT_PART = 1 << 22  # bytes of a text that are searched for anchors at a time
-SHARD_INTERVALS = 8192  # different intervals of one anchor in one shard
-BATCH_BYTES = 4 << 20  # of small shards that are sorted together
+SHARD_INTERVALS = 2048  # different intervals of one anchor in one shard
+BATCH_BYTES = 1 << 20  # of small shards that are sorted together
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION = np.uint64((1 << 24) - 1)
@@ -366,8 +366,8 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     again = each.groupBy("anchor").agg(F.sum("m").alias("n")).filter("n > 1").select("anchor")
     wanted = each.join(again, "anchor").groupBy("k", "th", "m")
     wanted = wanted.agg(F.collect_list(F.struct("anchor", "first", "windows", "place")).alias("list"))
-    # Rows that repeat an id and its text are cut once.
-    cut = stage_table(_cut(rows.join(wanted, ["k", "th"])).distinct(), "intervals")
+    # A row that repeats an id and its text is cut again: m is above 1 then in any case.
+    cut = stage_table(_cut(rows.join(wanted, ["k", "th"])), "intervals")
 
     contents = cut.groupBy("anchor", "content", "windows").agg(F.sum("m").alias("n"))
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
@@ -395,12 +395,9 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", output: Column | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of ``docs``.
-
-    With ``kept`` true in ``with_kept_bytes`` the remaining bytes come along.
-    """
+    """(id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of ``docs``."""
     return with_kept_bytes(docs, id_col, text_col).drop("kept")
 
 
