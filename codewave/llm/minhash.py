@@ -157,11 +157,12 @@ def fingerprint_edits(
     keys = rows.select("k", "th", F.length("t").cast("bigint").alias("n")).distinct()
     links = next_documents(keys)
 
-    # What a document gives to the one before it: its beginning and its fingerprint. Both
-    # joins take the texts from one exchange.
-    giver = rows.select(F.col("k").alias("gk"), F.col("th").alias("gth"), F.col("t").alias("gt"))
-    given = links.join(giver, (F.col("next_k") == F.col("gk")) & (F.col("next_th") == F.col("gth")))
-    given = with_fingerprint(given.select("k", "th", "n", "gt"), F.col("gt"), "next_fp", shingle)
+    # What a document gives to the one before it: its beginning and its fingerprint. No
+    # column is renamed, so that both joins take the texts from one exchange.
+    near = (F.col("l.next_k") == F.col("g.k")) & (F.col("l.next_th") == F.col("g.th"))
+    given = links.alias("l").join(rows.alias("g"), near)
+    given = given.select("l.k", "l.th", "l.n", F.col("g.t").alias("gt"))
+    given = with_fingerprint(given, F.col("gt"), "next_fp", shingle)
     given = given.select(
         "k", "th", "n", "next_fp", F.expr("substring(gt, 1, cast(n div 3 as int))").alias("start")
     )
