@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codewave.session import stage_table
+
 MEMBERS_PER_TASK = 4096
 
 
@@ -40,6 +42,7 @@ def exact_groups(
     members = hashed.join(several, "h").withColumn(
         "part", F.pmod(F.xxhash64("id"), parts).cast("int")
     )
+    members = stage_table(members, "members")  # used twice; the exchange of all texts is not
     first = (
         members.filter(F.col("id").eqNullSafe(F.col("keep")))
         .groupBy("h", "n")
@@ -86,13 +89,13 @@ def drop_exact_copies(
     Of rows that are alike in id and text one stays, whichever its other columns.
     """
     kept = exact_groups(docs, id_col, text_col, largest).filter("kept")
-    kept = kept.select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_kh"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(
-        F.col(id_col).alias("_id"),
+        key.alias("_k"),
         F.sha2(F.encode(text, "UTF-8"), 256).alias("_h"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
     )
-    same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_h") == F.col("_kh"))
-    stay = keyed.join(kept, same, "left_semi")
-    return stay.dropDuplicates(["_id", "_h"]).select("_row.*")
+    kept = kept.select(key.alias("_k"), F.col("text_sha256").alias("_h"))
+    stay = keyed.join(kept, ["_k", "_h"], "left_semi")
+    return stay.dropDuplicates(["_k", "_h"]).select("_row.*")
