@@ -39,7 +39,7 @@ from tokenizers import Tokenizer
 from codewave.session import stage_table
 
 BLOCK_DOCS = 4096
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 # Texts of these characters are in normal form, have plain lower case, and both libraries
 # class them alike; other texts are normalised and split by the tokenizer's own parts.
@@ -240,13 +240,21 @@ def encode_decode(
                 for key, n in zip(keys, row.column("lengths")[0].as_py()):
                     rows.append((key, *prepare(places[at : at + n])))
                     at += n
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), arrow.types)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                    if len(rows) == 256:
+                        yield _rows(rows, arrow)
+                        rows = []
+                if rows:
+                    yield _rows(rows, arrow)
 
     out = whole.select("block", "ids", "lengths", "places", "list").mapInArrow(unpack, fields)
     return out.withColumnRenamed("id", id_col)
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def _digests(ids: pa.ListArray, texts: list[str]):
     """For the words of a block: a function from positions to the digest columns."""
     counts = np.append(pc.list_value_length(ids).to_numpy(zero_copy_only=False), 0).astype(np.int64)
