@@ -280,15 +280,14 @@ def _(spark, sf):
 
 @query(
     "patch_codes",
-    """SELECT interview_id, submuestra, CASE WHEN interview_id = 422 THEN '91' WHEN interview_id = 423 THEN '93'
-           WHEN interview_id = 424 THEN '74' WHEN interview_id = 425 THEN '91'
+    """SELECT interview_id, submuestra,
+           CASE WHEN interview_id % 97 = 5 THEN lpad((interview_id % 9 + 1)::VARCHAR, 2, '0')
            WHEN human = '05' AND nro_rph = 1 AND submuestra = 80 THEN '03' ELSE human END AS human FROM f_codings""",
 )
 def _(spark, sf):
     df = V.f_codings(spark, sf).select("interview_id", "submuestra", "nro_rph", "human")
-    by_id = spark.createDataFrame(
-        [(422, "91"), (423, "93"), (424, "74"), (425, "91")], "interview_id long, codigo_nuevo string"
-    )
+    digit = (F.col("interview_id") % 9 + 1).cast("string")
+    by_id = df.filter("interview_id % 97 = 5").select("interview_id", F.lpad(digit, 2, "0").alias("codigo_nuevo")).distinct()
     by_key = spark.createDataFrame(
         [("05", 1, 80, "03")], "human string, nro_rph int, submuestra int, codigo_nuevo string"
     )

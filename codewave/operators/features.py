@@ -107,13 +107,6 @@ def embedding_lookup(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     )
 
 
-def embedding_coverage(matrix: DataFrame) -> DataFrame:
-    """Words, and words that have a vector."""
-    return matrix.agg(
-        F.count(F.lit(1)).alias("words"), F.count(F.when(F.col("covered"), 1)).alias("covered_words")
-    )
-
-
 def pool_embeddings(tokens: DataFrame, vectors: DataFrame, ident: str, dim: int) -> DataFrame:
     """``(ident, pooled)``: element-wise maximum, then mean, of an answer's word vectors.
 

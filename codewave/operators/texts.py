@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codewave.functions import text as T
-from codewave.functions.nulls import is_in
 
 
 def normalize_columns(
@@ -60,7 +59,3 @@ def frequent_texts(df: DataFrame, group: str, col: str, k: int = 10) -> DataFram
 
 def blank_specials(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: T.blank_special_codes(F.col(c)) for c in cols})
-
-
-def is_sentinel(col: Column) -> Column:
-    return is_in(col, T.SENTINEL_TEXTS)
