@@ -2,15 +2,19 @@
 
 1. Tasks split texts into words as the tokenizer does and pack runs of documents into
    blocks: each block has a list of its distinct words, each document a list of positions
-   in it. Both are written once.
+   in it. Blocks are exchanged once, by their key; steps 2 and 3 both read that exchange.
 2. The distinct words of all blocks are encoded, each once. Their ids meet the pieces of
    the vocabulary in a join, which gives the decoded bytes of every word.
-3. Ids and bytes of the words go back to the blocks that use them, and documents take them
-   by position.
+3. Ids and bytes of the words go back to the blocks that use them, bundled by block, and
+   documents take them by position.
 
 A word costs one encoding however often it occurs, hot words move once per block, and a
 block is bounded by ``BLOCK_BYTES`` of distinct words and ``BLOCK_DOCS`` documents.
 
+The texts come from a written table: a task that runs again after a lost executor must
+see its rows in the same order. The key of a block depends on all it holds, so blocks of
+an order that did change find no words and raise an error; they never take wrong ones.
+
 Defined cases: a null text is an empty text and has no ids; special tokens written out in a
 text become their ids; repeated rows give repeated results; a null id stays null; an empty
 table gives an empty result; extra columns are not read.
@@ -20,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -30,16 +33,16 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from codewave.session import stage_table
-
 BLOCK_DOCS = 4096
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
+BATCH_WORDS = 50_000
 
 # Texts of these characters are in normal form, have plain lower case, and both libraries
 # class them alike; other texts are normalised and split by the tokenizer's own parts.
@@ -112,7 +115,7 @@ def pieces(spark: SparkSession, definition: str) -> DataFrame:
 _PACKED = pa.schema(
     [
         ("block", pa.int64()),
-        ("words", pa.list_(pa.string())),
+        ("words", pa.binary()),
         ("ids", pa.list_(pa.int64())),
         ("lengths", pa.list_(pa.int32())),
         ("places", pa.binary()),
@@ -120,25 +123,47 @@ _PACKED = pa.schema(
 )
 
 
-def _squeeze(places: list[np.ndarray]) -> bytes:
-    """Positions as planes of equal bytes, compressed: high bytes are mostly alike."""
-    flat = np.concatenate([np.zeros(0, np.int32), *places]).astype("<u4")
-    planes = flat.view(np.uint8).reshape(-1, 4).T
-    return len(flat).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+def _squeeze(numbers: list[np.ndarray], text: bytes = b"") -> bytes:
+    """Arrays of numbers as planes of equal bytes, as high bytes are mostly alike, and a
+    text behind them, compressed."""
+    planes = [np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in numbers]
+    body = b"".join([*planes, text])
+    head = np.array([len(body), *map(len, numbers)], "<u8").tobytes()
+    return head + pa.compress(body, "zstd", asbytes=True)
+
 
+def _unsqueeze(data: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
+    size, *counts = np.frombuffer(data, "<u8", arrays + 1).tolist()
+    body = pa.decompress(data[8 * (arrays + 1) :], size, "zstd", asbytes=True)
+    numbers, at = [], 0
+    for n in counts:
+        planes = np.frombuffer(body, np.uint8, 4 * n, at).reshape(4, n)
+        numbers.append(planes.T.copy().view("<u4").ravel())
+        at += 4 * n
+    return numbers, body[at:]
 
-def _unsqueeze(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], 4 * n, "zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+def _strings(lengths: np.ndarray, text: bytes) -> pa.StringArray:
+    """The strings whose UTF-8 bytes stand one behind the other in ``text``."""
+    offsets = np.cumsum(np.append(0, lengths), dtype=np.int32)
+    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
 
 
 def _pack(definition: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter(definition)
+        made = 0
 
         def block(seen, ids, lengths, places):
-            rows = [[secrets.randbits(63)], [list(seen)], [ids], [lengths], [_squeeze(places)]]
+            nonlocal made
+            made += 1
+            coded = [w.encode() for w in seen]
+            words = _squeeze([np.fromiter(map(len, coded), np.uint32, len(coded))], b"".join(coded))
+            flat = _squeeze([np.concatenate([np.zeros(0, np.int32), *places])])
+            key = hashlib.blake2b(repr((TaskContext.get().partitionId(), made, ids)).encode(), digest_size=8)
+            key.update(words)
+            key.update(flat)
+            rows = [[int.from_bytes(key.digest(), "big", signed=True)], [words], [ids], [lengths], [flat]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(r, t) for r, t in zip(rows, _PACKED.types)], schema=_PACKED
             )
@@ -148,9 +173,10 @@ def _pack(definition: str):
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = splitter.split(text.as_py() or "")
-                for w in set(words).difference(seen):
-                    seen[w] = len(seen)
-                    size += len(w) + 8
+                for w in dict.fromkeys(words):
+                    if w not in seen:
+                        seen[w] = len(seen)
+                        size += len(w) + 8
                 ids.append(key)
                 lengths.append(len(words))
                 places.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
@@ -164,6 +190,54 @@ def _pack(definition: str):
     return pack
 
 
+_USED = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("word", pa.string())])
+
+
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, k, word): the distinct words of every block with their positions."""
+    for batch in batches:
+        for key, data in zip(batch.column("block").to_pylist(), batch.column("words")):
+            (lengths,), text = _unsqueeze(data.as_py(), 1)
+            words = _strings(lengths, text)
+            for at in range(0, len(words), BATCH_WORDS):
+                some = words[at : at + BATCH_WORDS]
+                k = np.arange(at, at + len(some), dtype=np.int32)
+                block = np.full(len(some), key, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(k), some], schema=_USED)
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bundle) of rows (block, k, ids, pieces) in the order of their blocks."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else block
+        bundles = []
+        for a, b in zip(cuts, [*cuts[1:], len(block)]):
+            part = batch.slice(a, b - a)
+            ids, pieces = part.column("ids"), part.column("pieces")
+            numbers = [
+                part.column("k").to_numpy(),
+                pc.list_value_length(ids).to_numpy(),
+                ids.flatten().to_numpy(),
+                pc.binary_length(pieces).to_numpy(),
+            ]
+            bundles.append(_squeeze(numbers, "".join(pieces.to_pylist()).encode()))
+        columns = [pa.array(block[cuts], pa.int64()), pa.array(bundles, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "bundle"])
+
+
+def _open_bundles(bundles: list[bytes]) -> tuple[pa.ListArray, list[str]]:
+    """The ids and joined pieces of a block's words in the order of their positions."""
+    opened = [_unsqueeze(b, 4) for b in bundles]
+    numbers = [np.concatenate([np.zeros(0, np.uint32), *(n[i] for n, _ in opened)]) for i in range(4)]
+    k, counts, flat, lengths = numbers
+    order = np.argsort(k)
+    offsets = np.cumsum(np.append(0, counts), dtype=np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+    pieces = _strings(lengths, b"".join(text for _, text in opened))
+    return ids.take(pa.array(order)), pieces.take(pa.array(order)).to_pylist()
+
+
 def encode_words(words: DataFrame, definition: str) -> DataFrame:
     """(word, ids) of a table of distinct words; its partitioning by word stays known."""
 
@@ -171,23 +245,42 @@ def encode_words(words: DataFrame, definition: str) -> DataFrame:
     def encode(parts: pd.Series) -> pd.Series:
         return parts.map(_splitter(definition).encode)
 
-    return words.select("word", encode("word").alias("ids"))
+    # Filters on its result would otherwise be pushed below the aggregate that makes words distinct.
+    return words.select("word", encode.asNondeterministic()("word").alias("ids"))
 
 
 def decode_ids(table: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """(key, ids, pieces): the pieces of the column ``ids`` in order, through a join by id.
 
-    ``key`` must be unique. The vocabulary is a fixed table of some ten thousand rows; it
-    is broadcast, and rows that are partitioned by ``key`` are not moved.
+    The vocabulary is a fixed table of some ten thousand rows; it is broadcast, so the rows
+    of a key stay together and are gathered where they are. An unknown id is an error.
     """
     flat = table.select(key, F.posexplode("ids").alias("pos", "id"))
-    named = flat.join(F.broadcast(vocabulary), "id")
-    row = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
-    gathered = named.groupBy(key).agg(row.alias("p"))
-    return gathered.select(
-        key,
-        F.transform("p", lambda x: x["id"]).alias("ids"),
-        F.transform("p", lambda x: x["piece"]).alias("pieces"),
+    named = flat.join(F.broadcast(vocabulary), "id", "left").select(key, "pos", "id", "piece")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            first = np.flatnonzero(rows.column("pos").to_numpy() == 0)
+            if len(first):
+                yield lists(rows.slice(0, first[-1]), first[:-1])
+                held = rows.slice(first[-1]).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield lists(pa.Table.from_batches([held]), np.zeros(1, np.int64))
+
+    def lists(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        if rows.column("piece").null_count:
+            raise ValueError("an id has no piece in the vocabulary")
+        offsets = pa.array(np.append(first, rows.num_rows).astype(np.int32))
+        ids, texts = (rows.column(c).combine_chunks() for c in ("id", "piece"))
+        columns = [rows.column(key).combine_chunks().take(pa.array(first))]
+        columns += [pa.ListArray.from_arrays(offsets, c) for c in (ids, texts)]
+        return pa.RecordBatch.from_arrays(columns, [key, "ids", "pieces"])
+
+    kept = T.StructType([table.schema[key]])
+    return named.mapInArrow(
+        gather, kept.add("ids", T.ArrayType(T.IntegerType())).add("pieces", T.ArrayType(T.StringType()))
     )
 
 
@@ -213,18 +306,19 @@ def encode_decode(
     spark = docs.sparkSession
     make, schema = output or (_digests, _OUT.fields[1:])
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    types = "block bigint, words array<string>, ids array<bigint>, lengths array<int>, places binary"
-    packed = stage_table(narrow.mapInArrow(_pack(definition), types), "packed")
+    types = "block bigint, words binary, ids array<bigint>, lengths array<int>, places binary"
+    # All columns are read on both ways from here, so that both share the one exchange.
+    packed = narrow.mapInArrow(_pack(definition), types).repartition("block")
 
-    used = packed.select("block", F.posexplode("words").alias("k", "word"))
+    used = packed.mapInArrow(_block_words, "block bigint, k int, word string")
     encoded = encode_words(used.select("word").distinct(), definition)
     table = decode_ids(encoded, pieces(spark, definition), "word")
     table = table.withColumn("pieces", F.array_join("pieces", " "))
+    found = used.join(table, "word").select("block", "k", "ids", "pieces")
+    bundles = found.sortWithinPartitions("block").mapInArrow(_bundle, "block bigint, bundle binary")
     # One row per block: bounded by what a block may hold.
-    lists = used.join(table, "word").groupBy("block").agg(
-        F.collect_list(F.struct("k", "ids", "pieces")).alias("list")
-    )
-    whole = packed.drop("words").join(lists, "block", "left")
+    lists = bundles.groupBy("block").agg(F.collect_list("bundle").alias("bundles"))
+    whole = packed.join(lists, "block", "left")
     fields = T.StructType([T.StructField("id", T.LongType()), *schema])
     arrow = to_arrow_schema(fields)
 
@@ -232,10 +326,13 @@ def encode_decode(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                words = pc.list_flatten(row.column("list"))
-                words = words.take(pc.sort_indices(words.field("k")))
-                prepare = make(words.field("ids"), words.field("pieces").to_pylist())
-                places, at, rows = _unsqueeze(row.column("places")[0].as_py()), 0, []
+                ids, texts = _open_bundles(row.column("bundles")[0].as_py() or [])
+                (n_words,) = np.frombuffer(row.column("words")[0].as_py(), "<u8", 1, 8)
+                if len(texts) != n_words:
+                    raise ValueError("the rows of a task changed when it ran again: write the documents first")
+                prepare = make(ids, texts)
+                (places,), _ = _unsqueeze(row.column("places")[0].as_py(), 1)
+                at, rows = 0, []
                 keys = row.column("ids")[0].as_py()
                 for key, n in zip(keys, row.column("lengths")[0].as_py()):
                     rows.append((key, *prepare(places[at : at + n])))
@@ -246,7 +343,7 @@ def encode_decode(
                 if rows:
                     yield _rows(rows, arrow)
 
-    out = whole.select("block", "ids", "lengths", "places", "list").mapInArrow(unpack, fields)
+    out = whole.mapInArrow(unpack, fields)
     return out.withColumnRenamed("id", id_col)
 
 
