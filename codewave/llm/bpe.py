@@ -2,11 +2,11 @@
 
 1. Tasks split texts into words as the tokenizer does and pack runs of documents into
    blocks: each block has a list of its distinct words, each document a list of positions
-   in it. Blocks are exchanged once, by their key; steps 2 and 3 both read that exchange.
-2. The distinct words of all blocks are encoded, each once. Their ids meet the pieces of
-   the vocabulary in a join, which gives the decoded bytes of every word.
-3. Ids and bytes of the words go back to the blocks that use them, bundled by block, and
-   documents take them by position.
+   in it. Blocks are exchanged once, by their key; steps 2 and 3 both read it.
+2. Equal words of all blocks meet in one bucket, by hash. A bucket's task holds a table of
+   its distinct words, encodes each once and sends the ids back to the blocks by position.
+3. The ids that a block uses, each once, meet the pieces of the vocabulary in a join by id.
+   Documents take ids and pieces by the positions of their words.
 
 A word costs one encoding however often it occurs, hot words move once per block, and a
 block is bounded by ``BLOCK_BYTES`` of distinct words and ``BLOCK_DOCS`` documents.
@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -42,7 +44,6 @@ from tokenizers import Tokenizer
 
 BLOCK_DOCS = 4096
 BLOCK_BYTES = 4 << 20
-BATCH_WORDS = 50_000
 
 # Texts of these characters are in normal form, have plain lower case, and both libraries
 # class them alike; other texts are normalised and split by the tokenizer's own parts.
@@ -190,98 +191,96 @@ def _pack(definition: str):
     return pack
 
 
-_USED = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("word", pa.string())])
+def _deal(buckets: int):
+    """(bucket, block, words): the distinct words of a block by the hash of the word."""
 
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, k, word): the distinct words of every block with their positions."""
-    for batch in batches:
-        for key, data in zip(batch.column("block").to_pylist(), batch.column("words")):
-            (lengths,), text = _unsqueeze(data.as_py(), 1)
-            words = _strings(lengths, text)
-            for at in range(0, len(words), BATCH_WORDS):
-                some = words[at : at + BATCH_WORDS]
-                k = np.arange(at, at + len(some), dtype=np.int32)
-                block = np.full(len(some), key, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(k), some], schema=_USED)
-
-
-def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, bundle) of rows (block, k, ids, pieces) in the order of their blocks."""
-    for batch in batches:
-        block = batch.column("block").to_numpy()
-        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else block
-        bundles = []
-        for a, b in zip(cuts, [*cuts[1:], len(block)]):
-            part = batch.slice(a, b - a)
-            ids, pieces = part.column("ids"), part.column("pieces")
-            numbers = [
-                part.column("k").to_numpy(),
-                pc.list_value_length(ids).to_numpy(),
-                ids.flatten().to_numpy(),
-                pc.binary_length(pieces).to_numpy(),
-            ]
-            bundles.append(_squeeze(numbers, "".join(pieces.to_pylist()).encode()))
-        columns = [pa.array(block[cuts], pa.int64()), pa.array(bundles, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["block", "bundle"])
-
-
-def _open_bundles(bundles: list[bytes]) -> tuple[pa.ListArray, list[str]]:
-    """The ids and joined pieces of a block's words in the order of their positions."""
-    opened = [_unsqueeze(b, 4) for b in bundles]
-    numbers = [np.concatenate([np.zeros(0, np.uint32), *(n[i] for n, _ in opened)]) for i in range(4)]
-    k, counts, flat, lengths = numbers
-    order = np.argsort(k)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column("block").to_pylist(), batch.column("words")):
+                (lengths,), text = _unsqueeze(data.as_py(), 1)
+                ends = np.cumsum(lengths, dtype=np.int64).tolist()
+                coded = [text[a:b] for a, b in zip([0, *ends], ends)]
+                bucket = np.fromiter(map(zlib.crc32, coded), np.uint32, len(coded)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                rows = [
+                    _squeeze([k, lengths[k]], b"".join([coded[i] for i in k.tolist()]))
+                    for k in np.split(order, cuts[1:])
+                ] if len(coded) else []
+                columns = [bucket[cuts].astype(np.int32), np.full(len(rows), key, np.int64)]
+                columns = [*map(pa.array, columns), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "words"])
+
+    return deal
+
+
+def _encode_words(definition: str):
+    """(block, bundle) of rows (bucket, block, words) in the order of their buckets: the
+    positions of the words in the block and their ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = _splitter(definition)
+        at, table = None, {}
+        for batch in batches:
+            bundles = []
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("words")):
+                if bucket != at:
+                    at, table = bucket, {}
+                (k, lengths), text = _unsqueeze(data.as_py(), 2)
+                words = _strings(lengths, text).to_pylist()
+                for w in words:
+                    if w not in table:
+                        table[w] = splitter.encode(w)
+                ids = [table[w] for w in words]
+                counts = np.fromiter(map(len, ids), np.uint32, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+                bundles.append(_squeeze([k, counts, flat]))
+            columns = [batch.column("block"), pa.array(bundles, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "bundle"])
+
+    return encode
+
+
+def _open_bundles(bundles: list[bytes]) -> pa.ListArray:
+    """The ids of a block's words in the order of their positions."""
+    opened = [_unsqueeze(b, 3)[0] for b in bundles]
+    k, counts, flat = (np.concatenate([np.zeros(0, np.uint32), *(n[i] for n in opened)]) for i in range(3))
     offsets = np.cumsum(np.append(0, counts), dtype=np.int32)
     ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-    pieces = _strings(lengths, b"".join(text for _, text in opened))
-    return ids.take(pa.array(order)), pieces.take(pa.array(order)).to_pylist()
+    return ids.take(pa.array(np.argsort(k)))
 
 
-def encode_words(words: DataFrame, definition: str) -> DataFrame:
-    """(word, ids) of a table of distinct words; its partitioning by word stays known."""
-
-    @F.pandas_udf("array<int>")
-    def encode(parts: pd.Series) -> pd.Series:
-        return parts.map(_splitter(definition).encode)
-
-    # Filters on its result would otherwise be pushed below the aggregate that makes words distinct.
-    return words.select("word", encode.asNondeterministic()("word").alias("ids"))
+def _block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, id): the ids that a block uses, each once."""
+    for batch in batches:
+        for key, bundles in zip(batch.column("block").to_pylist(), batch.column("bundles")):
+            used = np.unique(_open_bundles(bundles.as_py()).flatten().to_numpy())
+            columns = [np.full(len(used), key, np.int64), used]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["block", "id"])
 
 
-def decode_ids(table: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """(key, ids, pieces): the pieces of the column ``ids`` in order, through a join by id.
+def decode_ids(used: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(key, pieces): for each key the pieces (id, piece) of its ids, through a join by id.
 
-    The vocabulary is a fixed table of some ten thousand rows; it is broadcast, so the rows
-    of a key stay together and are gathered where they are. An unknown id is an error.
+    The vocabulary is a fixed table of some ten thousand rows and is broadcast; a key has
+    at most as many different ids.
     """
-    flat = table.select(key, F.posexplode("ids").alias("pos", "id"))
-    named = flat.join(F.broadcast(vocabulary), "id", "left").select(key, "pos", "id", "piece")
+    named = used.join(F.broadcast(vocabulary), "id")
+    return named.groupBy(key).agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            first = np.flatnonzero(rows.column("pos").to_numpy() == 0)
-            if len(first):
-                yield lists(rows.slice(0, first[-1]), first[:-1])
-                held = rows.slice(first[-1]).combine_chunks().to_batches()[0]
-        if held is not None:
-            yield lists(pa.Table.from_batches([held]), np.zeros(1, np.int64))
-
-    def lists(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
-        if rows.column("piece").null_count:
-            raise ValueError("an id has no piece in the vocabulary")
-        offsets = pa.array(np.append(first, rows.num_rows).astype(np.int32))
-        ids, texts = (rows.column(c).combine_chunks() for c in ("id", "piece"))
-        columns = [rows.column(key).combine_chunks().take(pa.array(first))]
-        columns += [pa.ListArray.from_arrays(offsets, c) for c in (ids, texts)]
-        return pa.RecordBatch.from_arrays(columns, [key, "ids", "pieces"])
-
-    kept = T.StructType([table.schema[key]])
-    return named.mapInArrow(
-        gather, kept.add("ids", T.ArrayType(T.IntegerType())).add("pieces", T.ArrayType(T.StringType()))
-    )
+
+def _joined_pieces(ids: pa.ListArray, pieces: pa.StructArray) -> list[str]:
+    """The pieces of every word, joined by a blank."""
+    order = pc.sort_indices(pieces.field("id"))
+    known = pieces.field("id").take(order).to_numpy()
+    flat = ids.flatten().to_numpy()
+    place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    if not np.array_equal(known[place], flat):
+        raise ValueError("an id has no piece in the vocabulary")
+    taken = pieces.field("piece").take(order).take(pa.array(place))
+    offsets = np.cumsum(np.append(0, pc.list_value_length(ids).to_numpy()), dtype=np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), taken), " ").to_pylist()
 
 
 _OUT = T.StructType(
@@ -310,15 +309,14 @@ def encode_decode(
     # All columns are read on both ways from here, so that both share the one exchange.
     packed = narrow.mapInArrow(_pack(definition), types).repartition("block")
 
-    used = packed.mapInArrow(_block_words, "block bigint, k int, word string")
-    encoded = encode_words(used.select("word").distinct(), definition)
-    table = decode_ids(encoded, pieces(spark, definition), "word")
-    table = table.withColumn("pieces", F.array_join("pieces", " "))
-    found = used.join(table, "word").select("block", "k", "ids", "pieces")
-    bundles = found.sortWithinPartitions("block").mapInArrow(_bundle, "block bigint, bundle binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packed.mapInArrow(_deal(buckets), "bucket int, block bigint, words binary")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    bundles = dealt.mapInArrow(_encode_words(definition), "block bigint, bundle binary")
     # One row per block: bounded by what a block may hold.
-    lists = bundles.groupBy("block").agg(F.collect_list("bundle").alias("bundles"))
-    whole = packed.join(lists, "block", "left")
+    lists = bundles.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list("bundle").alias("bundles"))
+    named = decode_ids(lists.mapInArrow(_block_ids, "block bigint, id int"), pieces(spark, definition), "block")
+    whole = packed.join(lists, "block", "left").join(named, "block", "left")
     fields = T.StructType([T.StructField("id", T.LongType()), *schema])
     arrow = to_arrow_schema(fields)
 
@@ -326,7 +324,8 @@ def encode_decode(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                ids, texts = _open_bundles(row.column("bundles")[0].as_py() or [])
+                ids = _open_bundles(row.column("bundles")[0].as_py() or [])
+                texts = _joined_pieces(ids, pc.list_flatten(row.column("pieces"))) if len(ids) else []
                 (n_words,) = np.frombuffer(row.column("words")[0].as_py(), "<u8", 1, 8)
                 if len(texts) != n_words:
                     raise ValueError("the rows of a task changed when it ran again: write the documents first")
