@@ -6,7 +6,10 @@ modulo rules only plant sentinels, nulls and disagreements among the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codewave.functions import arrays as A
@@ -25,20 +28,26 @@ def two_digits(col: Column) -> Column:
 
 
 def f_resp(spark: SparkSession, sf: str) -> DataFrame:
-    """Survey answers: the first words of a document as occupation, the rest as tasks."""
+    """Survey answers: the first words of a document as occupation, the rest as tasks.
+
+    Where a mark or a null takes the place of one field, the other has all words.
+    """
     doc = spread_small(table(spark, sf, "documents"), "doc_id")
     i, n = F.col("doc_id"), F.substring("source", 4, 10).cast("int")
     words = F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")
+    no_oficio = (i % 89 == 3) | (i % 97 == 5)
+    no_tareas = (i % 50 == 7) & ~no_oficio
+    many = F.lit(1_000_000_000)
     return doc.select(
         i.alias("id"),
         "text",
         n.alias("n"),
         F.when(n < 3, n + 80).otherwise(n - 2).alias("submuestra"),
         F.when(i % 89 == 3, F.lit("-99"))
-        .when(i % 97 != 5, F.array_join(F.slice(words, 1, 6), " "))
+        .when(i % 97 != 5, F.array_join(F.slice(words, 1, F.when(no_tareas, many).otherwise(6)), " "))
         .alias("oficio"),
-        F.when(i % 50 == 7, F.lit("-88"))
-        .otherwise(F.array_join(F.slice(words, 7, 1_000_000_000), " "))
+        F.when(no_tareas, F.lit("-88"))
+        .otherwise(F.array_join(F.slice(words, F.when(no_oficio, 1).otherwise(7), many), " "))
         .alias("tareas"),
         F.when(i % 61 != 9, F.col("lang")).alias("aeciuo_2"),
         F.element_at(F.array(F.lit("viii"), F.lit("piloto"), F.lit("ix")), n % 3 + 1).alias("origen"),
@@ -79,38 +88,32 @@ def f_person(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f_review_all(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per (order, line) with both codes and a verdict."""
+    """Every line of an order under a number of its own, with both codes and a verdict."""
     line = table(spark, sf, "lineitem")
-    first = F.min(
-        F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
-    ).alias("f")
-    verdict = F.when(F.col("f.l_returnflag") == "A", F.lit("CONFORME")).when(
-        F.col("f.l_returnflag") == "R", F.lit("NO CONFORME")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    verdict = F.when(F.col("l_returnflag") == "A", F.lit("CONFORME")).when(
+        F.col("l_returnflag") == "R", F.lit("NO CONFORME")
     )
-    return (
-        line.groupBy(F.col("l_orderkey").alias("folio"), F.col("l_linenumber").alias("n_linea"))
-        .agg(first)
-        .select(
-            "folio",
-            "n_linea",
-            verdict.alias("conformidad"),
-            (F.col("f.l_suppkey") % 40 + 90).alias("ciuo_08cl"),
-            (F.col("f.l_partkey") % 40 + 90).alias("codigo_nuevo"),
-        )
+    return line.select(
+        F.col("l_orderkey").alias("folio"),
+        F.row_number().over(order).cast("bigint").alias("n_linea"),
+        verdict.alias("conformidad"),
+        (F.col("l_suppkey") % 40 + 90).alias("ciuo_08cl"),
+        (F.col("l_partkey") % 40 + 90).alias("codigo_nuevo"),
     )
 
 
 def f_reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    """The reviewed side: lines 1 and 2 of an order."""
-    df = f_review_all(spark, sf).filter(F.col("n_linea") <= 2)
+    """The reviewed side: all lines, some under numbers that only this side has."""
     rev = review_code(F.col("conformidad"), F.col("ciuo_08cl"), F.col("codigo_nuevo"))
-    return df.select("folio", "n_linea", rev.alias("ciuo_08cl_rev"))
+    own = F.when(F.col("n_linea") % 3 == 1, F.col("n_linea") + 1000).otherwise(F.col("n_linea"))
+    return f_review_all(spark, sf).select("folio", own.alias("n_linea"), rev.alias("ciuo_08cl_rev"))
 
 
 def f_complete(spark: SparkSession, sf: str) -> DataFrame:
-    """The complete side: all lines but the first, so that each side has rows of its own."""
-    df = f_review_all(spark, sf).filter(F.col("n_linea") != 1)
-    return df.select("folio", "n_linea", "ciuo_08cl")
+    """The complete side: all lines, some under numbers that only this side has."""
+    own = F.when(F.col("n_linea") % 3 == 2, F.col("n_linea") + 2000).otherwise(F.col("n_linea"))
+    return f_review_all(spark, sf).select("folio", own.alias("n_linea"), "ciuo_08cl")
 
 
 def f_codings(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,15 +205,22 @@ def f_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Label index 0..9 of the catalogue's first ten codes."""
+    """Label index 0..13 of the catalogue's codes."""
     codes = f_codes(spark, sf).withColumn("codigo_int", F.col("aeciuo_2").cast("int") - 1)
-    return codes.filter(F.col("codigo_int") < 10).select("codigo_int", "aeciuo_2")
+    return codes.select("codigo_int", "aeciuo_2")
+
+
+CLASSES, DIMENSIONS = 10, 64
 
 
 def f_proba(spark: SparkSession, sf: str) -> DataFrame:
-    """Soft-max of ten dimensions as class probabilities."""
+    """Soft-max over ten classes, each the sum of every tenth dimension."""
     emb = table(spark, sf, "embeddings")
-    exps = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double")))
+    sums = [
+        reduce(add, [F.col("embedding")[d].cast("double") for d in range(c, DIMENSIONS, CLASSES)])
+        for c in range(CLASSES)
+    ]
+    exps = F.array(*[F.exp(x) for x in sums])
     df = emb.select("vec_id", F.col("label").alias("y_test"), exps.alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
     df = df.withColumn("total", total)

@@ -52,6 +52,11 @@ def wave_position(expr: str, order: list[int] | None = None) -> str:
     return f"CASE {expr} {cases} END"
 
 
+def class_sum(first: int) -> str:
+    """The exponential of every tenth of 64 dimensions, added up."""
+    return "exp(" + " + ".join(f"CAST(embedding[{d}] AS DOUBLE)" for d in range(first, 65, 10)) + ")"
+
+
 def views() -> dict[str, tuple[str, tuple[str, ...]]]:
     """Name -> (body, views it reads)."""
     return {
@@ -59,12 +64,13 @@ def views() -> dict[str, tuple[str, tuple[str, ...]]]:
             r"""
             SELECT id, text, n, submuestra,
               CASE WHEN id % 89 = 3 THEN '-99' WHEN id % 97 <> 5
-                   THEN coalesce(array_to_string(words[1:6], ' '), '') END AS oficio,
-              CASE WHEN id % 50 = 7 THEN '-88'
-                   ELSE coalesce(array_to_string(words[7:], ' '), '') END AS tareas,
+                   THEN coalesce(array_to_string(words[1:(CASE WHEN no_tareas THEN 1000000000 ELSE 6 END)], ' '), '') END AS oficio,
+              CASE WHEN no_tareas THEN '-88'
+                   ELSE coalesce(array_to_string(words[(CASE WHEN no_oficio THEN 1 ELSE 7 END):], ' '), '') END AS tareas,
               CASE WHEN id % 61 <> 9 THEN lang END AS aeciuo_2,
               ['viii', 'piloto', 'ix'][n % 3 + 1] AS origen
-            FROM (SELECT doc_id AS id, text, lang, n, CASE WHEN n < 3 THEN n + 80 ELSE n - 2 END AS submuestra,
+            FROM (SELECT doc_id AS id, text, lang, n, doc_id % 89 = 3 OR doc_id % 97 = 5 AS no_oficio,
+                    doc_id % 50 = 7 AND NOT (doc_id % 89 = 3 OR doc_id % 97 = 5) AS no_tareas, CASE WHEN n < 3 THEN n + 80 ELSE n - 2 END AS submuestra,
                     [w for w in string_split_regex(text, '[ \t\n\r\f]+') if w <> ''] AS words
                   FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) AS n FROM documents))""",
             (),
@@ -91,21 +97,22 @@ def views() -> dict[str, tuple[str, tuple[str, ...]]]:
             (),
         ),
         "f_review_all": (
-            """SELECT l_orderkey AS folio, l_linenumber AS n_linea,
+            """SELECT l_orderkey AS folio,
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS n_linea,
                  CASE l_returnflag WHEN 'A' THEN 'CONFORME' WHEN 'R' THEN 'NO CONFORME' END AS conformidad,
                  l_suppkey % 40 + 90 AS ciuo_08cl, l_partkey % 40 + 90 AS codigo_nuevo
-               FROM lineitem
-               QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-                 ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag) = 1""",
+               FROM lineitem""",
             (),
         ),
         "f_reviewed": (
-            """SELECT folio, n_linea, CASE conformidad WHEN 'CONFORME' THEN ciuo_08cl WHEN 'NO CONFORME' THEN codigo_nuevo END AS ciuo_08cl_rev
-               FROM f_review_all WHERE n_linea <= 2""",
+            """SELECT folio, CASE WHEN n_linea % 3 = 1 THEN n_linea + 1000 ELSE n_linea END AS n_linea,
+                 CASE conformidad WHEN 'CONFORME' THEN ciuo_08cl WHEN 'NO CONFORME' THEN codigo_nuevo END AS ciuo_08cl_rev
+               FROM f_review_all""",
             ("f_review_all",),
         ),
         "f_complete": (
-            "SELECT folio, n_linea, ciuo_08cl FROM f_review_all WHERE n_linea <> 1",
+            """SELECT folio, CASE WHEN n_linea % 3 = 2 THEN n_linea + 2000 ELSE n_linea END AS n_linea, ciuo_08cl
+               FROM f_review_all""",
             ("f_review_all",),
         ),
         "f_codings": (
@@ -155,12 +162,12 @@ def views() -> dict[str, tuple[str, tuple[str, ...]]]:
             ("f_catalogue_file",),
         ),
         "f_keys": (
-            "SELECT CAST(aeciuo_2 AS INTEGER) - 1 AS codigo_int, aeciuo_2 FROM f_codes WHERE CAST(aeciuo_2 AS INTEGER) <= 10",
+            "SELECT CAST(aeciuo_2 AS INTEGER) - 1 AS codigo_int, aeciuo_2 FROM f_codes",
             ("f_codes",),
         ),
         "f_proba": (
-            """SELECT vec_id, y_test, [round(v / list_sum(e), 6) for v in e] AS proba FROM (
-                 SELECT vec_id, label AS y_test, [exp(CAST(x AS DOUBLE)) for x in embedding[1:10]] AS e FROM embeddings)""",
+            f"""SELECT vec_id, y_test, [round(v / list_sum(e), 6) for v in e] AS proba FROM (
+                 SELECT vec_id, label AS y_test, [{", ".join(map(class_sum, range(1, 11)))}] AS e FROM embeddings)""",
             (),
         ),
         "f_predictions": (

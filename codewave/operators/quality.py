@@ -362,16 +362,30 @@ def cumulative_misses(bins: DataFrame, wave: str, hit: str, labels: Sequence[str
 # --- tables -----------------------------------------------------------------------
 
 
+def _listed(value: Column, values: Sequence) -> Column:
+    """``value``, or an error in the running job where it is neither listed nor missing."""
+    unlisted = F.raise_error(F.concat(F.lit("value without a column: "), value.cast("string")))
+    return F.when(value.isNull() | value.isin(*values), value).otherwise(unlisted)
+
+
 def code_by_wave(df: DataFrame, code: str, hit: str, wave: str, waves: Sequence[int]) -> DataFrame:
-    """Rows per code and hit, one column per wave; null where there are none."""
+    """Rows per code and hit, one column per wave; null where there are none.
+
+    A row of a wave that is not in ``waves`` is an error: the table would lack it.
+    """
+    df = df.withColumn(wave, _listed(F.col(wave), waves))
     return df.groupBy(code, hit).pivot(wave, list(waves)).agg(F.count(F.lit(1)))
 
 
 def crosstab(df: DataFrame, a: str, b: str | None = None, values: Sequence | None = None) -> DataFrame:
-    """Counts of one column, or of two with ``values`` of the second as columns; no nulls."""
+    """Counts of one column, or of two with ``values`` of the second as columns; no nulls.
+
+    A value of ``b`` that is not in ``values`` is an error: the table would lack it.
+    """
     if b is None:
         return df.filter(F.col(a).isNotNull()).groupBy(a).agg(F.count(F.lit(1)).alias("n"))
     kept = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    kept = kept.withColumn(b, _listed(F.col(b), values))
     return kept.groupBy(a).pivot(b, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 

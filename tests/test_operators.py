@@ -253,3 +253,11 @@ def test_attach_predictions_filters(spark, rows):
     )
     got = triage.attach_predictions(pred, human, ["interview_id", "nro_rph"])
     assert rows(got, "interview_id", "predice2", "predice", "codigo_cod") == [(1, 1, "si", 3), (2, 0, "1", 3)]
+
+
+def test_wide_tables_refuse_values_without_a_column(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 0, 9)], "code string, hit int, wave int")
+    with pytest.raises(Exception, match="value without a column: 9"):
+        quality.code_by_wave(df, "code", "hit", "wave", [1, 2]).collect()
+    with pytest.raises(Exception, match="value without a column: 9"):
+        quality.crosstab(df, "code", "wave", [1, 2]).collect()
