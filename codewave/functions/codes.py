@@ -52,5 +52,6 @@ def backfill_agreement(flag: Column, code: Column, model_code: Column) -> Column
 
 
 def agreement_text(flag: Column) -> Column:
-    """Flags typed as 1 read as agreement."""
-    return F.when(flag == "1", F.lit(AGREES)).otherwise(flag)
+    """Flags as typed by hand in one form: 'SI' and ' Si. ' are 'si', and so is 1; accents stay."""
+    typed = F.regexp_replace(F.lower(flag.cast("string")), r"[\p{P}\s]+", "")
+    return F.when(typed == "1", F.lit(AGREES)).otherwise(typed)

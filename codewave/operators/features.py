@@ -86,7 +86,8 @@ def tfidf(
 ) -> DataFrame:
     """``(ident, idx, tfidf)`` with (1 + ln tf) * ln(1 + N / (1 + df)); unknown words have df 0."""
     n_train = train.count()
-    terms = document_term_counts(df, col, ident)
+    # Answers are placed once; both counts and a broadcast vocabulary keep that placing.
+    terms = document_term_counts(df.select(ident, col).repartition(ident), col, ident)
     terms = terms.join(vocab.select("word", "idx", "n_docs"), "word", "left")
     per_index = terms.groupBy(ident, F.coalesce("idx", F.lit(UNKNOWN_INDEX)).alias("idx")).agg(
         F.sum("tf").alias("tf"), F.max(F.coalesce("n_docs", F.lit(0))).alias("n_docs")
@@ -111,9 +112,10 @@ def pool_embeddings(tokens: DataFrame, vectors: DataFrame, ident: str, dim: int)
     """``(ident, pooled)``: element-wise maximum, then mean, of an answer's word vectors.
 
     ``tokens`` has one row per token with an index. Repeated words are counted first,
-    and an unknown word counts as zeros. Vectors are summed up before the shuffle.
+    and an unknown word counts as zeros. Tokens are placed by answer once: while the vectors
+    are broadcast, counting and summing need no further exchange.
     """
-    counts = tokens.groupBy(ident, "idx").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    counts = tokens.repartition(ident).groupBy(ident, "idx").agg(F.count(F.lit(1)).cast("double").alias("w"))
     zeros = F.array_repeat(F.lit(0.0), dim)
     joined = lookup(counts, vectors.select("idx", "embedding"), ["idx"])
     vector = array_to_vector(F.coalesce(F.col("embedding").cast("array<double>"), zeros))

@@ -1,4 +1,4 @@
-"""Joins in which a missing key matches a missing key, and size-checked broadcasts."""
+"""Joins in which a missing key matches a missing key, and lookups in written tables."""
 
 from __future__ import annotations
 
@@ -10,38 +10,6 @@ from pyspark.sql import functions as F
 
 from codewave.session import stage_table
 
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 << 20
-
-
-def _small_copy(df: DataFrame, max_rows: int, max_bytes: int) -> DataFrame | None:
-    """``df`` computed and held as a local frame, or None when it is not small.
-
-    At most ``max_rows + 1`` rows are fetched to find out.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > max_bytes:
-        return None
-    return df.sparkSession.createDataFrame(head, schema=df.schema)
-
-
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """``df`` as a broadcast side once its size is known to be small, else ``df`` itself.
-
-    A larger table is left to a shuffled join, where adaptive execution splits hot keys.
-    """
-    copy = _small_copy(df, max_rows, max_bytes)
-    return df if copy is None else F.broadcast(copy)
-
-
-def compute_once(df: DataFrame, name: str) -> DataFrame:
-    """An aggregate that feeds several passes: held locally if small, else written."""
-    copy = _small_copy(df, BROADCAST_ROWS, BROADCAST_BYTES)
-    return stage_table(df, name) if copy is None else copy
-
-
 def _keys_equal(left: DataFrame, right: DataFrame, on: Sequence[str], nullable: bool) -> Column:
     pairs = [(left[k], right[f"_r_{k}"]) for k in on]
     return reduce(lambda a, b: a & b, [l.eqNullSafe(r) if nullable else l == r for l, r in pairs])
@@ -72,5 +40,10 @@ def null_safe_join(
 def lookup(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Null-safe join to a table that is broadcast if it proves small."""
-    return null_safe_join(df, broadcast_if_small(table), on, how)
+    """Null-safe join to a table that is usually small.
+
+    The table is computed once and written, so Catalyst knows its size: below the session's
+    broadcast threshold it is broadcast, above it the join is shuffled and adaptive
+    execution splits hot keys. No row of it passes through Python.
+    """
+    return null_safe_join(df, stage_table(table, "lookup"), on, how)

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codewave.functions.codes import agreement_text
 from codewave.functions.nulls import count_if, is_in, mean_or_null, sum_or_null
 from codewave.operators.assemble import floor_share, ordered_waves
-from codewave.operators.joins import compute_once, lookup
 from codewave.operators.rank import exact_rank, kth_smallest
 from codewave.operators.triage import exclude_listed
+from codewave.session import stage_table
 
 # Shares of a wave tried as cut-off, and the limits of the difficulty bins.
 CUTS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60)
@@ -103,7 +104,7 @@ def _pairs_in_range(df: DataFrame, truth: str, predicted: str) -> tuple[DataFram
     pairs = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    pairs = compute_once(pairs, "pairs")
+    pairs = stage_table(pairs, "pairs")
     span = pairs.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     return pairs, span
 
@@ -202,7 +203,7 @@ def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def _share_of(flag: str, value: str) -> tuple[Column, Column]:
     n = F.count(F.lit(1))
-    return n, count_if(F.col(flag) == value) / n
+    return n, count_if(agreement_text(F.col(flag)) == value) / n
 
 
 def agreement_by_code(
@@ -220,7 +221,7 @@ def agreement_by_code(
 
 def agreement_summary(df: DataFrame, flag: str) -> DataFrame:
     """Rows and share of all rows per flag."""
-    counts = compute_once(df.groupBy(flag).agg(F.count(F.lit(1)).alias("n")), "flags")
+    counts = stage_table(df.groupBy(flag).agg(F.count(F.lit(1)).alias("n")), "flags")
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("prop", F.col("n") / total)
 
@@ -239,7 +240,7 @@ def agreement_across_waves(
     for w in waves:
         here = F.col(wave) == w
         n = count_if(here)
-        hits = count_if(here & (F.col(flag) == value))
+        hits = count_if(here & (agreement_text(F.col(flag)) == value))
         columns += [F.when(n > 0, hits / F.when(n > 0, n)).alias(f"prop{w}"), F.when(n > 0, n).alias(f"n{w}")]
     wide = df.filter(F.col(wave).isin(list(waves))).groupBy(code).agg(*columns)
     return wide.join(catalogue.select(code), code)
@@ -267,9 +268,7 @@ def _cut_text(p: float) -> str:
 def _ranked_in_wave(df: DataFrame, wave: str, difficulty: str, ident: str, hit: str) -> DataFrame:
     """Position of a row in its wave, hardest first, and the size of the wave."""
     narrow = df.select(wave, difficulty, ident, hit)
-    ranked = exact_rank(narrow, difficulty, ident, group_by=[wave])
-    sizes = df.groupBy(wave).agg(F.count(F.lit(1)).alias("wave_n"))
-    return lookup(ranked, sizes, [wave])
+    return exact_rank(narrow, difficulty, ident, group_by=[wave], size_out="wave_n")
 
 
 def cutoff_accuracy_grid(

@@ -12,6 +12,7 @@ bucket that holds the k-th row, and repeats until that bucket is small.
 from __future__ import annotations
 
 import math
+import os
 import sys
 from bisect import bisect_right
 from collections import Counter
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from codewave.operators.joins import lookup
 
@@ -49,6 +51,19 @@ def _order(col: Column, descending: bool) -> Column:
     return _present(col).desc_nulls_last() if descending else _present(col).asc_nulls_last()
 
 
+def _id_number(df: DataFrame, ident: str) -> Column:
+    """An id as a number that never falls while the id rises; it only serves to cut.
+
+    Of a text these are the six bytes after the beginning that all ids share.
+    """
+    if not isinstance(df.schema[ident].dataType, StringType):
+        return F.col(ident).cast("double")
+    ends = [end.encode() for end in df.agg(F.min(ident), F.max(ident)).first() if end is not None]
+    shared = len(os.path.commonprefix(ends)) if ends else 0
+    differing = F.substring(F.encode(F.col(ident), "UTF-8"), shared + 1, 6)
+    return F.conv(F.rpad(F.hex(differing), 12, "0"), 16, 10).cast("double")
+
+
 @dataclass(frozen=True)
 class _Boundaries:
     """Literal cut points of the sort value and of the id."""
@@ -107,14 +122,17 @@ def exact_rank(
     descending: bool = False,
     tie_break: Sequence[str] = (),
     out: str = "rank",
+    size_out: str | None = None,
 ) -> DataFrame:
     """Add the rank 1..n by ``value`` (missing last), then ``ident``, per group if any.
 
-    ``value`` and ``ident`` are numeric; with ``tie_break`` the pair need not be unique.
-    One group may hold most rows: groups are split into the same buckets.
+    ``value`` is numeric, ``ident`` numeric or text; with ``tie_break`` the pair need not be
+    unique. One group may hold most rows: groups are split into the same buckets. The size
+    of the group comes along as ``size_out``, from the bucket counts.
     """
-    bounds = _boundaries(df, F.col(value), F.col(ident), _buckets(df))
-    keyed = _with_buckets(df, F.col(value), F.col(ident), bounds, descending)
+    number = _id_number(df, ident)
+    bounds = _boundaries(df, F.col(value), number, _buckets(df))
+    keyed = _with_buckets(df, F.col(value), number, bounds, descending)
     group_keys = {}
     for name in group_by:
         dtype = df.schema[name].dataType.simpleString()
@@ -126,7 +144,11 @@ def exact_rank(
 
     sizes = keyed.groupBy(keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(groups).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(
+        *keys,
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        F.sum("_size").over(Window.partitionBy(groups)).alias(size_out or "_all"),
+    )
     within = Window.partitionBy(keys).orderBy(
         _order(F.col(value), descending), F.col(ident).asc_nulls_last(), *tie_break
     )
@@ -134,7 +156,7 @@ def exact_rank(
     return (
         numbered.join(offsets, keys)
         .withColumn(out, F.col("_before") + F.col("_row"))
-        .select(*df.columns, out)
+        .select(*df.columns, out, *([size_out] if size_out else []))
     )
 
 
@@ -143,7 +165,7 @@ class CutPoint:
     """The last row, in sort order, of those that were asked for."""
 
     value: float | None
-    ident: int
+    ident: int | str
     descending: bool = False
 
     def covers(self, value: Column, ident: Column) -> Column:
@@ -171,17 +193,18 @@ def kth_smallest(
         return None
     buckets = _buckets(df)
     while n > SELECT_ROWS:
-        bounds = _boundaries(rows, F.col("v"), F.col("i"), buckets)
-        keyed = _with_buckets(rows, F.col("v"), F.col("i"), bounds, descending)
-        # At most buckets x buckets counts, and in practice a few per bucket.
-        counts = keyed.groupBy("_b", "_s").count().orderBy("_b", "_s").collect()
-        for b, s, size in counts:
-            if k <= size:
-                break
-            k -= size
-        if size == n:
+        number = _id_number(rows, "i")
+        bounds = _boundaries(rows, F.col("v"), number, buckets)
+        keyed = _with_buckets(rows, F.col("v"), number, bounds, descending)
+        # The bucket with the row is found on the executors; only its line is fetched.
+        upto = F.sum("size").over(Window.orderBy("_b", "_s"))
+        counts = keyed.groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("size")).withColumn("upto", upto)
+        hit = counts.filter(F.col("upto") >= k).orderBy("_b", "_s").first()
+        k -= hit["upto"] - hit["size"]
+        if hit["size"] == n:
             break
-        rows, n = keyed.filter((F.col("_b") == b) & (F.col("_s") == s)).select("v", "i"), size
+        in_bucket = (F.col("_b") == hit["_b"]) & (F.col("_s") == hit["_s"])
+        rows, n = keyed.filter(in_bucket).select("v", "i"), hit["size"]
     found = rows.orderBy(_order(F.col("v"), descending), "i").offset(k - 1).limit(1).collect()
     return CutPoint(found[0]["v"], found[0]["i"], descending) if found else None
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from codewave.functions.codes import agreement_text, pad_single_digit
 from codewave.functions.nulls import code_text, count_if, is_in
 from codewave.functions.text import SENTINEL_TEXTS
-from codewave.operators.joins import compute_once, lookup, null_safe_join
+from codewave.operators.joins import lookup, null_safe_join
+from codewave.session import stage_table
 
 NO_CODE = 999
 # Codes of the earlier classification that have no counterpart.
@@ -160,8 +161,8 @@ def label_keys(df: DataFrame, label: str, out: str = "codigo_int") -> DataFrame:
 
 def index_labels(df: DataFrame, label: str, out: str = "codigo_int") -> tuple[DataFrame, DataFrame]:
     """``(keys, df)``: the label index, computed once, and the rows with their index."""
-    keys = compute_once(label_keys(df, label, out), "keys")
-    return keys, lookup(df.withColumn(label, code_text(df, label)), keys, [label])
+    keys = stage_table(label_keys(df, label, out), "keys")
+    return keys, null_safe_join(df.withColumn(label, code_text(df, label)), keys, [label], "left")
 
 
 def label_coverage(

@@ -25,12 +25,27 @@ def test_keys_that_are_never_missing_use_plain_equality(spark, rows):
     assert rows(safe, "k", "n", "m") == rows(plain, "k", "n", "m")
 
 
-def test_large_table_is_not_broadcast(spark):
-    table = spark.range(1000).withColumnRenamed("id", "k")
-    assert joins.broadcast_if_small(table, max_rows=999) is table
-    hinted = joins.broadcast_if_small(table, max_rows=1000)
-    assert hinted is not table and hinted.count() == 1000
-    assert joins.broadcast_if_small(table, max_bytes=100) is table
+def test_lookup_broadcasts_by_the_size_of_what_was_written(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "n int, k string")
+    table = spark.createDataFrame([("a", 10), (None, 20)], "k string, m int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, broadcast in (("10m", True), ("-1", False)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = joins.lookup(df, table, ["k"])
+            assert rows(got, "n", "m") == [(1, 10), (2, 20), (3, None)]
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) is broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("typed, share", [("SI", 1.0), (" Si. ", 1.0), ("1", 1.0), ("no", 0.0)])
+def test_flags_are_normalised_before_they_are_counted(spark, typed, share):
+    df = spark.createDataFrame([("01", typed, 80)], "c string, f string, w int")
+    codes = spark.createDataFrame([("01", "x")], "c string, glosa string")
+    assert quality.agreement_by_code(df, "c", "f", codes, "glosa").first()["prop"] == share
+    assert quality.agreement_across_waves(df, "c", "f", "w", [80], codes).first()["prop80"] == share
 
 
 @pytest.mark.parametrize("copies, kept", [(2, 0), (3, 3)])

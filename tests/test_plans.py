@@ -56,3 +56,26 @@ def test_counts_are_summed_before_the_shuffle(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert "partial_count" in plan(count_by(orders, ["o_orderstatus"]))
     assert agreement_summary(orders, "o_orderstatus").agg(F.sum("n")).first()[0] == orders.count()
+
+
+def exchanges(df):
+    return plan(df).count("Exchange hashpartitioning")
+
+
+def test_answers_are_exchanged_once(spark):
+    from codewave.operators import features
+
+    text = spark.createDataFrame([(1, "pan con pan"), (2, "vende pan"), (3, "")], "id long, t string")
+    vocab = features.fit_vocabulary(text, "t", "id")
+    assert exchanges(features.tfidf(text, text, "t", "id", vocab)) == 1
+    tokens = features.encode_tokens(text, "t", "id", vocab)
+    vectors = vocab.select("idx", F.array(F.lit(1.0), F.col("idx").cast("double")).alias("embedding"))
+    assert exchanges(features.pool_embeddings(tokens, vectors, "id", 2)) == 1
+
+
+def test_size_of_a_wave_comes_from_the_bucket_counts(spark):
+    from codewave.operators.quality import cutoff_accuracy_grid
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").withColumn("hit", F.lit(1))
+    grid = cutoff_accuracy_grid(orders, "o_orderstatus", "o_totalprice", "o_orderkey", "hit")
+    assert plan(grid).count("FileScan") == 2  # ranked rows and bucket counts

@@ -78,6 +78,44 @@ def test_kth_smallest_narrows_down(frame, monkeypatch, descending, k):
     assert covered == {r[0] for r in want[:k]}
 
 
+@pytest.fixture(scope="module")
+def folios(spark):
+    """Text ids that share a beginning and do not sort as their numbers do."""
+    rows = [(f"waves-{i}-{i % 7}", g, v) for i, g, v in make_rows()] + [("", "a", 7.0)]
+    return rows, spark.createDataFrame(rows, "id string, g string, v double").persist()
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_exact_rank_with_text_ids(folios, descending):
+    rows, df = folios
+    ranked = R.exact_rank(df, "v", "id", group_by=["g"], descending=descending, size_out="n").collect()
+    for group in ("hot", "a", None):
+        want = sorted((r for r in rows if r[1] == group), key=lambda r: (*sort_key(r[2], descending), r[0]))
+        got = {r["id"]: r["rank"] for r in ranked if r["g"] == group}
+        assert got == {r[0]: i for i, r in enumerate(want, start=1)}
+        assert {r["n"] for r in ranked if r["g"] == group} == {len(want)}
+
+
+@pytest.mark.parametrize("bound", [50, 1_000_000])
+@pytest.mark.parametrize("k", [1, 700, 2999])
+def test_cut_by_text_ids_on_both_sides_of_the_bound(folios, monkeypatch, bound, k):
+    monkeypatch.setattr(R, "SELECT_ROWS", bound)
+    rows, df = folios
+    cut = R.kth_smallest(df, "v", "id", k)
+    want = sorted(rows, key=lambda r: (*sort_key(r[2], False), r[0]))
+    assert cut.ident == want[k - 1][0]
+    covered = {r["id"] for r in df.filter(cut.covers(F.col("v"), F.col("id"))).collect()}
+    assert covered == {r[0] for r in want[:k]}
+
+
+def test_ids_that_share_a_beginning_are_cut_evenly(spark):
+    df = spark.range(20_000).select(F.format_string("household-%06d", "id").alias("id"), F.lit(1.0).alias("v"))
+    number = R._id_number(df, "id")
+    bounds = R._boundaries(df, F.col("v"), number, 16)
+    keyed = R._with_buckets(df, F.col("v"), number, bounds, False)
+    assert keyed.groupBy("_b", "_s").count().agg(F.max("count")).first()[0] < 20_000 / 16 * 3
+
+
 def test_no_rows_asked_for(frame):
     assert R.kth_smallest(frame, "v", "id", 0) is None
 
