@@ -9,6 +9,7 @@ from checks.registry import query
 from codewave.functions.codes import agreement_text
 from codewave.operators import quality, triage
 from codewave.operators.reconcile import normalize_flag
+from codewave.plans.code_wave import sheets
 
 WAVES = (80, 81, 82, 1, 2, 3, 4)
 
@@ -54,6 +55,24 @@ def _(spark, sf):
     return dealt.select("interview_id", "dificultad", "persona_codifica")
 
 
+@query(
+    "code_wave",
+    """WITH r AS (SELECT p.vec_id, k.aeciuo_2, k.glosa, row_number() OVER (ORDER BY p.dificultad NULLS LAST, p.vec_id) AS pos,
+                  CAST(floor(count(*) OVER () * (1 - 0.6)) AS BIGINT) AS cut
+                FROM f_predictions p LEFT JOIN (SELECT f_keys.codigo_int, f_keys.aeciuo_2, glosa
+                  FROM f_keys JOIN f_codes ON f_keys.aeciuo_2 = f_codes.aeciuo_2) k ON p.codigo_int = k.codigo_int)
+       SELECT vec_id, aeciuo_2 AS prediccion_modelo, glosa AS glosa_prediccion, pos <= cut AS humano,
+         CASE WHEN pos > cut THEN ['Primera', 'Segunda'][CAST((pos - cut) % 2 AS INTEGER) + 1] END AS persona_codifica
+       FROM r""",
+)
+def _(spark, sf):
+    scored = V.f_proba(spark, sf).select("vec_id", "proba")
+    human, technical = sheets(scored, V.f_keys(spark, sf), V.f_codes(spark, sf), "vec_id", ["Primera", "Segunda"])
+    cols = ["vec_id", "prediccion_modelo", "glosa_prediccion"]
+    human = human.select(*cols, F.lit(True).alias("humano"), F.lit(None).cast("string").alias("persona_codifica"))
+    return human.unionByName(technical.select(*cols, F.lit(False).alias("humano"), "persona_codifica"))
+
+
 @query(
     "make_worksheet",
     """SELECT interview_id, submuestra, pred AS prediccion_modelo,

@@ -38,10 +38,13 @@ def earlier_survey(reviewed: DataFrame, complete: DataFrame, complete_file: bool
 def pilot(
     control: DataFrame, raw: DataFrame, treatment: DataFrame, patches=(), raw_texts: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Both arms of the pilot; the control arm's texts come from the raw file."""
+    """Both arms of the pilot; the control arm's texts come from the raw file.
+
+    A column that only one arm has is missing in the other.
+    """
     raw_texts = raw_texts or {"oficio": "AE09A", "tareas": "AE09B"}
     repaired = repair_text(control, raw, ["folio", "nro_rph"], raw_texts)
-    arms = repaired.unionByName(treatment)
+    arms = repaired.unionByName(treatment, allowMissingColumns=True)
     rows = normalize_columns(drop_sentinels(arms, "oficio", CODE), TEXTS)
     return patch_codes(rows, CODE, patches) if patches else rows
 

@@ -1,3 +1,6 @@
+import string
+import unicodedata
+
 import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
@@ -121,3 +124,17 @@ def test_backfill_compares_padded_codes(spark):
     )
     got = [r[0] for r in df.select(C.backfill_agreement(F.col("f"), F.col("c"), F.col("m"))).collect()]
     assert got == ["si", "no", None, "no"]
+
+
+def test_tables_shared_with_the_check_sql_have_these_values():
+    from codewave.functions import text
+    from codewave.operators import quality
+
+    assert dict(zip(text.ACCENTED, text.UNACCENTED))["ñ"] == "n"
+    assert len(text.ACCENTED) == len(text.UNACCENTED) == 53  # 27 small, 26 capital letters
+    for marked, plain in zip(text.ACCENTED, text.UNACCENTED):
+        assert unicodedata.normalize("NFD", marked)[0] == plain
+    assert set(text.TOKEN_SEPARATORS) == set(string.punctuation) - {"'"} | {"\t", "\n"}
+    assert [round(100 * p) for p in quality.CUTS] == list(range(5, 65, 5))
+    assert quality.BIN_LIMITS == (0.0, *quality.CUTS, 1.0)
+    assert [float(x.replace(",", ".")) for x in quality.BIN_LABELS] == [*quality.CUTS, 1.0]

@@ -81,3 +81,23 @@ def test_stream_scores_each_file_once(spark, answers, model, tmp_path):
     batch = score.score_wave(model, new)
     difference = out.join(batch, "id").filter(out["codigo_int"] != batch["codigo_int"])
     assert difference.count() == 0
+
+
+def test_both_sheets_together_are_the_wave(answers, model, tmp_path):
+    from codewave.plans.code_wave import code_wave
+
+    path = str(tmp_path / "saved")
+    model.save(path)
+    saved = train.Classifier.load(path, answers, ["oficio_proc", "tareas_proc"])
+    wave = answers.select(F.concat(F.lit("9400-"), "id").alias("folio"), "oficio", "tareas", "aeciuo_2")
+    wave = wave.withColumnRenamed("aeciuo_2", "truth")
+    codes = answers.select("aeciuo_2").distinct().withColumn("glosa", F.upper("aeciuo_2"))
+    human, technical = code_wave(saved, wave, codes, "folio", ["A", "B"])
+    assert human.count() == 36 and technical.count() == 54
+    ids = [r["folio"] for r in human.select("folio").union(technical.select("folio")).collect()]
+    assert sorted(ids) == sorted(r["folio"] for r in wave.collect())
+    assert technical.filter("truth <> prediccion_modelo OR glosa_prediccion <> upper(truth)").count() == 0
+    assert {r["persona_codifica"]: r["count"] for r in technical.groupBy("persona_codifica").count().collect()} == {
+        "A": 27, "B": 27
+    }
+    assert "CODIGO" in human.columns and "predice_bien" in technical.columns
