@@ -1,12 +1,18 @@
 """Personal data: exact kinds by pattern, and unseen identifiers by bootstrapped context.
 
 The four base kinds (email, ip, card, phone) are found by regular expressions with the
-checks that belong to them. Their matches are the seeds. The words before an entity and its
-shape make a lexical pattern; a pattern is trusted when most of the different instances it
-meets are already known. Trusted patterns vote for the unknown instances that they meet;
-accepted ones become known, and the graph of patterns and instances is scored again, until
-nothing is added or ``ROUNDS`` are over. Accepted instances become spans of the kind that
-their patterns have.
+checks that belong to them. Their matches are the seeds. Four sorts of lexical pattern meet
+an instance: the words before it with its shape (letters, digits and marks in runs), the two
+words before it whatever its shape, the two words after it whatever its shape, and, for
+instances that no base kind knows, the exact shape alone. A pattern is trusted when most of
+the different instances it meets are already known. Trusted patterns vote for the unknown
+instances that they meet; accepted ones become known, and the graph of patterns and
+instances is scored again, until nothing is added or ``ROUNDS`` are over. So an instance of
+a shape without any seed is reached by its words, and then carries its shape to other words.
+Accepted instances become spans of the kind that their patterns have.
+
+The words before, the words after and the shape count as independent votes; patterns of the
+words before that differ in shape only do not add up, and words after do not suffice alone.
 
 Positions come from the text between two matches: the expression gives it as a group of its
 own, and a running sum over the matches of one document gives code points. Every expression
@@ -41,7 +47,7 @@ _CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
 # A quick test that a text can have a match at all.
 _HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0-9]", "run": "[0-9@]"}
 
-TAIL = 80  # characters before an entity that its context words are taken from
+TAIL = 80  # characters before and after an entity that its context words are taken from
 MIN_SEEDS = 3  # different known instances behind a trusted pattern
 TRUST = 0.8  # share of known instances among those that a pattern meets
 ACCEPT = 0.9  # joint vote for an unknown instance
@@ -78,7 +84,11 @@ def _match_entry(kind: str):
     def entry(gap: Column, hit: Column) -> Column:
         before = F.substring(gap, -TAIL, TAIL)
         return F.struct(
-            F.lit(kind).alias("kind"), F.length(gap).alias("gap"), before.alias("before"), hit.alias("match")
+            F.lit(kind).alias("kind"),
+            F.length(gap).alias("gap"),
+            before.alias("before"),
+            hit.alias("match"),
+            F.lit(None).cast("string").alias("after"),
         )
 
     return entry
@@ -89,9 +99,10 @@ def _of_base_kind(kind: str):
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """(k, th, kind, start, end, before, match) of (k, th, t): all matches, checked or not.
+    """(k, th, kind, start, end, before, match, after) of (k, th, t): all matches, checked or not.
 
-    ``before`` is the end of the text since the last match of the kind.
+    ``before`` is the end of the text since the last match of the kind; ``after`` is the
+    beginning of the text that follows a candidate run.
     """
     found = []
     for kind, pattern in {**_PATTERNS, "run": _CANDIDATE}.items():
@@ -99,6 +110,10 @@ def matches(rows: DataFrame) -> DataFrame:
         gaps = F.regexp_extract_all("t", whole, F.lit(1))
         hits = F.regexp_extract_all("t", whole, F.lit(2))
         pairs = F.zip_with(gaps, hits, _match_entry(kind))
+        if kind == "run":
+            ahead = F.lit(rf"(?s)\G(.*?)({pattern})(?=(.{{0,{TAIL}}}))")
+            afters = F.regexp_extract_all("t", ahead, F.lit(3))
+            pairs = F.zip_with(pairs, afters, lambda p, a: p.withField("after", a))
         possible = F.col("t").rlike(_HINTS[kind])
         of_kind = F.when(possible, F.transform(pairs, lambda p, i: F.struct(i.alias("nth"), p.alias("p"))))
         found.append(F.coalesce(of_kind, F.array()))
@@ -107,7 +122,7 @@ def matches(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("k", "th", "kind").orderBy("nth")
     end = F.sum(F.col("gap") + F.length("match")).over(order).cast("bigint")
     return flat.withColumn("end", end).select(
-        "k", "th", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "before", "match"
+        "k", "th", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "before", "match", "after"
     )
 
 
@@ -134,6 +149,8 @@ def contexts(found: DataFrame) -> DataFrame:
     runs = runs.withColumn("start", F.col("start") + skipped)
     runs = runs.withColumn("end", F.col("start") + F.length("core"))
     words = F.lower(F.regexp_replace("before", "[0-9]+", "0"))
+    later = F.lower(F.regexp_replace("after", "[0-9]+", "0"))
+    exact = F.regexp_replace(F.regexp_replace("core", r"\p{L}", "a"), "[0-9]", "9")
     shape = F.regexp_replace(F.regexp_replace("core", r"\p{L}+", "a"), "[0-9]+", "9")
     runs = runs.select(
         "k",
@@ -145,9 +162,26 @@ def contexts(found: DataFrame) -> DataFrame:
         F.regexp_extract(words, r"(\S+)\s*$", 1).alias("one"),
         F.regexp_extract(words, r"(\S+\s+\S+)\s*$", 1).alias("two"),
         F.substring(shape, 1, 64).alias("shape"),
+        # The edge of a text or of a neighbouring run stands for a word that is not there.
+        F.regexp_extract(F.concat(F.lit("^ "), words), r"(\S+\s+\S+)\s*$", 1).alias("before"),
+        F.regexp_extract(F.concat(later, F.lit(" $")), r"^\s*(\S+\s+\S+)", 1).alias("after"),
+        F.when(F.length("core") <= 64, exact).alias("exact"),
     )
-    pairs = F.array(*[F.when(F.col(c) != "", F.concat_ws("\t", c, "shape")) for c in ("one", "two")])
-    return runs.withColumn("patterns", F.array_compact(pairs)).drop("one", "two", "shape")
+    pairs = [F.when(F.col(c) != "", F.concat_ws("\t", F.lit("w"), c, "shape")) for c in ("one", "two")]
+    pairs += [F.when(F.col(c) != "", F.concat_ws("\t", F.lit(c[0]), c)) for c in ("before", "after")]
+    pairs.append(F.when(F.col("known").isNull() & F.col("exact").isNotNull(), F.concat_ws("\t", F.lit("s"), "exact")))
+    found = runs.withColumn("patterns", F.array_compact(F.array(*pairs)))
+    return found.drop("one", "two", "shape", "before", "after", "exact")
+
+
+def _vote() -> Column:
+    """The joint vote of trusted patterns (pattern, trust) for one instance and kind."""
+    doubt = F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))
+    sort = F.substring("pattern", 1, 1)
+    shaped = F.coalesce(F.sum(F.when(sort == "w", doubt)), F.lit(0.0))
+    before, after, shape = [F.coalesce(F.min(F.when(sort == c, doubt)), F.lit(0.0)) for c in "bas"]
+    own = F.least(shaped, before) + shape
+    return F.when(own < 0, 1 - F.exp(own + after)).otherwise(0.0)
 
 
 def bootstrap(runs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -163,8 +197,7 @@ def bootstrap(runs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         trusted = hits.join(met, "pattern").withColumn("trust", F.col("f") / F.col("n"))
         trusted = trusted.filter(F.col("trust") >= TRUST).select("pattern", "kind", "trust")
         votes = links.filter("known IS NULL").join(trusted, "pattern").join(known, "instance", "left_anti")
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
-        vote = votes.groupBy("instance", "kind").agg((1 - doubt).alias("vote")).filter(F.col("vote") >= ACCEPT)
+        vote = votes.groupBy("instance", "kind").agg(_vote().alias("vote")).filter(F.col("vote") >= ACCEPT)
         best = vote.groupBy("instance").agg(F.max(F.struct("vote", "kind")).alias("v"))
         new = stage_table(best.select("instance", "v.kind"), "accepted")
         if new.isEmpty():

@@ -321,6 +321,25 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert spans[13] == spans[14] == ""
 
 
+def discovered(spark, rows):
+    got = pii.report(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    return {r["doc_id"]: r["spans"] for r in got}
+
+
+@pytest.mark.parametrize("unseen", [3, 12])
+def test_contexts_cross_shapes(spark, unseen):
+    texts = {f"please call +1 (843) 555-{4200 + i} before noon": None for i in range(80)}
+    # No seed has this shape; the words around it are those of the seeds.
+    texts |= {f"please call 843-555-{4300 + i} before noon": "phone:12:24" for i in range(unseen)}
+    # The shape of accepted ones under other words: at 3 of 4 it is below the trust threshold.
+    texts["my other line: 843-555-4400 is best"] = "phone:15:27" if unseen > 9 else ""
+    texts |= {"shelf 12-345-67890 of room two": "", "page 1234-5678 of the book": ""}  # neither words nor shape
+    spans = discovered(spark, list(texts))
+    for i, (text, want) in enumerate(texts.items()):
+        if want is not None:
+            assert not base_spans(text) and spans[i] == want
+
+
 # 8 ---------------------------------------------------------------------------------------
 
 
