@@ -11,7 +11,7 @@ columns, of any name, are never read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewave.session import stage_table
@@ -19,6 +19,10 @@ from codewave.session import stage_table
 MEMBERS_PER_TASK = 4096
 
 
+def _content_hash(text: Column) -> Column:
+    return F.md5(F.encode(text, "UTF-8"))
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True
 ) -> DataFrame:
@@ -29,7 +33,7 @@ def exact_groups(
     best = F.max if largest else F.min
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
-        "id", "t", F.md5(F.encode("t", "UTF-8")).alias("h")
+        "id", "t", _content_hash(F.col("t")).alias("h")
     )
     # The digest moves with the narrow rows, the text does not.
     rows = hashed.select("id", "h", F.sha2(F.encode("t", "UTF-8"), 256).alias("s"))
@@ -47,13 +51,14 @@ def exact_groups(
         members.filter(F.col("id").eqNullSafe(F.col("keep")))
         .groupBy("h", "n")
         .agg(F.min("t").alias("kept_text"))
-        .select("h", "kept_text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        .withColumn("kept_sha", F.sha2(F.encode("kept_text", "UTF-8"), 256))  # of this text, not of the hash
+        .select("h", "kept_text", "kept_sha", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     )
     odd = F.when(F.col("t") != F.col("kept_text"), F.col("t"))
     seen = (
         members.join(first, ["h", "part"])
-        .select("h", "id", odd.alias("odd"))
-        .groupBy("h", "id", "odd")
+        .select("h", "id", odd.alias("odd"), "kept_sha")
+        .groupBy("h", "id", "odd", "kept_sha")
         .agg(F.count("*").alias("m"))
     )
     classes = seen.groupBy(F.col("h").alias("ch"), F.col("odd").alias("codd")).agg(
@@ -63,11 +68,8 @@ def exact_groups(
         classes, (F.col("h") == F.col("ch")) & F.col("odd").eqNullSafe(F.col("codd"))
     )
     digest = F.sha2(F.encode("odd", "UTF-8"), 256)
-    grouped = (
-        confirmed.join(rows.groupBy("h").agg(F.min("s").alias("s0")), "h")
-        .withColumn("s", F.when(F.col("odd").isNull(), F.col("s0")).otherwise(digest))
-        .select("id", "keep", "n", "m", "s")
-    )
+    digest = F.when(F.col("odd").isNull(), F.col("kept_sha")).otherwise(digest)
+    grouped = confirmed.select("id", "keep", "n", "m", digest.alias("s"))
     single = rows.join(groups.filter("n = 1").select("h", "keep", "n"), "h")
     out = single.select("id", "keep", "n", "m", "s").unionByName(grouped)
     # A row repeated with its id comes back as often as it was there; its first copy is kept.

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -398,6 +399,22 @@ def test_exact_groups_on_awkward_rows(docs, empty, monkeypatch):
     assert exact_dedup.exact_groups(empty).count() == exact_dedup.drop_exact_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("largest", [True, False])
+def test_exact_groups_survive_a_hash_collision(spark, monkeypatch, largest):
+    """Texts with one hash and different bytes, whichever of them has the smaller digest."""
+    monkeypatch.setattr(exact_dedup, "_content_hash", lambda t: F.substring(t, 1, 3))
+    rows = [(i, t) for i, t in enumerate(["abc one", "abc two", "abc one", "abc two", "abc three", "xyz", "xyz"])]
+    groups = defaultdict(list)
+    for key, text in rows:
+        groups[text].append(key)
+    best = max if largest else min
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r[0], r[1], r[2], r[4]) for r in exact_dedup.exact_groups(frame, largest=largest).collect()}
+    assert got == {(i, best(ids), len(ids), sha(t)) for t, ids in groups.items() for i in ids}
+    stay = exact_dedup.drop_exact_copies(frame, largest=largest).collect()
+    assert sorted(map(tuple, stay)) == sorted((best(ids), t) for t, ids in groups.items())
+
+
 # 10 --------------------------------------------------------------------------------------
 
 
