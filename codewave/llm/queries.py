@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewave.llm import bpe, exact_dedup, langid, minhash, mixing, pii, quality, sharding, simhash, suffix_dedup, whitening
+from codewave.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    minhash,
+    mixing,
+    pii,
+    prefix_trie,
+    quality,
+    sharding,
+    simhash,
+    suffix_dedup,
+    whitening,
+)
 from codewave.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +120,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
