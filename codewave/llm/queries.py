@@ -13,6 +13,7 @@ from codewave.llm import (
     langid,
     minhash,
     mixing,
+    phrase_automata,
     pii,
     prefix_trie,
     quality,
@@ -122,6 +123,11 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.remove_phrases(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
