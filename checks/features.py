@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import views as V
 from checks.registry import query
 from codewave.functions import arrays as A
-from codewave.operators import features, score, train
+from codewave.operators import features, score, spaces, train
 from codewave.session import scratch_path
 
 TEXT = "oficio_tarea"
@@ -80,6 +80,29 @@ def _(spark, sf):
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
+@query(
+    "sparse_features",
+    """SELECT id, (SELECT CAST(max(idx) + 1 AS BIGINT) FROM f_vocab) AS size,
+         string_agg(CAST(idx AS VARCHAR), ' ' ORDER BY idx) AS indices,
+         string_agg(CAST(CAST(round(weight * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY idx) AS vals
+       FROM (SELECT t.id, coalesce(v.idx, 1) AS idx,
+               (1 + ln(count(*))) * ln(1 + (SELECT CAST(count(*) AS DOUBLE) FROM f_split WHERE split = 'train')
+                 / (1 + max(coalesce(v.n_docs, 0)))) AS weight
+             FROM f_tokens t LEFT JOIN f_vocab v ON t.word = v.word GROUP BY t.id, coalesce(v.idx, 1))
+       GROUP BY id""",
+)
+def _(spark, sf):
+    df, fit = _split(spark, sf)
+    space = spaces.fit_space(fit, [TEXT], "id")
+    vectors = spaces.to_sparse(space.rows(df, "id"), "id", space.size)
+    return vectors.select(
+        "id",
+        "features.size",
+        F.array_join(F.col("features.indices").cast("array<string>"), " ").alias("indices"),
+        _whole(F.col("features.values")).alias("vals"),
+    )
+
+
 @query("document_term_counts", "SELECT id, word, count(*) AS tf FROM f_tokens GROUP BY id, word")
 def _(spark, sf):
     return features.document_term_counts(V.f_text(spark, sf), TEXT, "id")
@@ -138,56 +161,53 @@ def _predictions(model, test):
 @query("train_multi_field")
 def _(spark, sf):
     fit, test = _labelled(spark, sf)
-    return _predictions(train.train_multi_field(fit, FIELDS, "aeciuo_2"), test)
+    return _predictions(train.train_multi_field(fit, FIELDS, "aeciuo_2", "id"), test)
 
 
 @query("train_single_field")
 def _(spark, sf):
     fit, test = _labelled(spark, sf)
-    return _predictions(train.train_single_field(fit, TEXT, "aeciuo_2"), test)
+    return _predictions(train.train_single_field(fit, TEXT, "aeciuo_2", "id"), test)
 
 
 @query("train_pooled_embedding")
 def _(spark, sf):
     fit, test = _labelled(spark, sf)
-    vocab = features.fit_vocabulary(fit, TEXT, "id")
-    vectors = _vectors(spark, sf, vocab)
-    model = train.train_pooled_embedding(train.pooled_features(fit, TEXT, "id", vocab, vectors, DIM), "aeciuo_2")
-    return _predictions(model, train.pooled_features(test, TEXT, "id", vocab, vectors, DIM))
+    vectors = _vectors(spark, sf, _vocabulary(spark, sf))
+    return _predictions(train.train_pooled_embedding(fit, TEXT, "aeciuo_2", "id", vectors, DIM), test)
 
 
 @query("train_linear_svm")
 def _(spark, sf):
     fit, test = _labelled(spark, sf)
-    return _predictions(train.train_linear_svm(fit, [TEXT], "aeciuo_2"), test)
+    return _predictions(train.train_linear_svm(fit, [TEXT], "aeciuo_2", "id"), test)
+
+
+@query("train_two_levels")
+def _(spark, sf):
+    fit, test = _labelled(spark, sf)
+    return _predictions(train.train_two_levels(fit, [TEXT], "aeciuo_2", "id"), test)
 
 
 @query("select_best_model")
 def _(spark, sf):
     df = V.f_split(spark, sf).drop("split")
-    _model, losses = train.select_best_model(df, [TEXT], "aeciuo_2", "id", scratch_path(spark, "model"))
-    return spark.createDataFrame(losses, "reg double, perdida double")
+    path = scratch_path(spark, "model")
+    _model, losses = train.select_best_model(df, [TEXT], "aeciuo_2", "id", path, passes=12, patience=2)
+    return spark.createDataFrame(list(enumerate(losses)), "pasada int, perdida double")
 
 
 @query("compare_strategies")
 def _(spark, sf):
     df = V.f_split(spark, sf).drop("split")
-    return train.compare_strategies(
-        df,
-        "aeciuo_2",
-        "id",
-        {
-            "counts": lambda fit, label: train.train_multi_field(fit, [TEXT], label, idf=False),
-            "tfidf": lambda fit, label: train.train_single_field(fit, TEXT, label),
-            "two fields": lambda fit, label: train.train_multi_field(fit, FIELDS, label),
-        },
-    )
+    strategies = train.text_strategies(TEXT, "id", MAXLEN, dim=32, passes=4)
+    return train.compare_strategies(df, "aeciuo_2", "id", strategies)
 
 
 @query("score_wave")
 def _(spark, sf):
     fit, _test = _labelled(spark, sf)
-    model = train.train_multi_field(fit, FIELDS, "aeciuo_2")
+    model = train.train_multi_field(fit, FIELDS, "aeciuo_2", "id")
     new = V.f_resp(spark, sf).select("id", "submuestra", "oficio", "tareas")
     return score.score_wave(model, new).select("id", "submuestra", "codigo_int", "dificultad", "pbb_caso")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewave.functions.arrays import pad_sequence
@@ -17,16 +17,18 @@ from codewave.session import stage_table
 UNKNOWN_INDEX, FIRST_INDEX = 1, 2
 
 
-def fit_vocabulary(train: DataFrame, col: str, ident: str) -> DataFrame:
+def fit_vocabulary(train: DataFrame, col: str, ident: str, tokens: Column | None = None) -> DataFrame:
     """``(word, n, n_docs, idx)``: words by frequency, ties by first appearance, from 2.
 
+    ``tokens`` may give other words of an answer than those of the column.
+
     Every token is one row, and so is every distinct word of an answer (marked by a
     position of -1), so both counts come out of one pass with map-side sums. The counts
     are written before they are ranked, and the vocabulary is written as well: it is
     state that scoring needs, and Spark then knows its size when it joins to it.
     """
     places = F.lit(10_000_000_000).cast("decimal(11,0)")
-    tokens = vocabulary_tokens(F.col(col))
+    tokens = vocabulary_tokens(F.col(col)) if tokens is None else tokens
     placed = F.transform(tokens, lambda w, p: F.struct(w.alias("word"), p.alias("p")))
     once = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("word"), F.lit(-1).alias("p")))
     rows = train.select(F.col(ident).alias("i"), F.explode(F.concat(placed, once)).alias("t"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +27,9 @@ def prepare_wave(
 def score_wave(model: Classifier, df: DataFrame, text_cols: Sequence[str] = ("oficio", "tareas")) -> DataFrame:
     """Prepared rows with class probabilities, best index, difficulty and confidence.
 
-    The state of training travels in the pipeline; no training data is read. The same
-    transform serves a batch and a stream.
+    The state of training travels in the tables of the model; no training data is read.
     """
-    scored = model.pipeline.transform(prepare_wave(df, text_cols))
-    scored = scored.withColumn("proba", vector_to_array("probability"))
+    scored = model.score(prepare_wave(df, text_cols)).withColumn("proba", F.col("probability"))
     return scored.select(
         *df.columns,
         "proba",

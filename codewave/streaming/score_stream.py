@@ -1,10 +1,10 @@
-"""The scoring transform over a folder into which new waves arrive."""
+"""Scoring of a folder into which new waves arrive."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,14 +22,15 @@ def score_wave_stream(
     text_cols: Sequence[str] = ("oficio", "tareas"),
     max_files: int = 100,
 ) -> StreamingQuery:
-    """Score every file not scored yet, then stop; the checkpoint remembers the files."""
+    """Score every file not scored yet, then stop; the checkpoint remembers the files.
+
+    Each batch is scored as a wave is and written under its own number, ``batch=<n>``. A batch
+    that is run again after a failure replaces what it wrote before.
+    """
     waves = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
-    return (
-        score_wave(model, waves, text_cols)
-        .writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        score_wave(model, batch, text_cols).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    query = waves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return query.trigger(availableNow=True).start()

@@ -37,6 +37,17 @@ def test_linear_svm_learns(answers):
     assert accuracy(train.predict(svm, prepared, "aeciuo_2")) > 0.9
 
 
+def test_two_levels_learn(answers):
+    prepared = score.prepare_wave(answers).withColumn(
+        "aeciuo_2", F.concat(F.translate("aeciuo_2", "abc", "xxz"), "aeciuo_2")
+    )
+    levels = train.train_two_levels(prepared, ["oficio_tarea"], "aeciuo_2", "id")
+    assert levels.learner.groups == (0, 0, 1)
+    scored = train.predict(levels, prepared, "aeciuo_2")
+    assert accuracy(scored) > 0.9
+    assert all(sum(r["probability"]) == pytest.approx(1) for r in scored.collect())
+
+
 def test_same_scores_every_time(answers, model):
     def scores():
         out = score.score_wave(model, answers).select("id", F.round("pbb_caso", 9).alias("p")).collect()
@@ -55,17 +66,39 @@ def test_score_wave_drops_no_answers(spark, model):
 def test_best_model_is_saved_and_read_back(answers, tmp_path):
     prepared = score.prepare_wave(answers)
     path = str(tmp_path / "model")
-    best, losses = train.select_best_model(prepared, ["oficio_tarea"], "aeciuo_2", "id", path, regs=(0.5, 0.01))
-    assert losses[1][1] < losses[0][1]
+    best, losses = train.select_best_model(prepared, ["oficio_tarea"], "aeciuo_2", "id", path, passes=4, patience=2)
+    assert min(losses[1:]) < losses[0]
     assert accuracy(train.predict(best, prepared, "aeciuo_2")) > 0.9
 
 
-def test_compare_strategies_lists_every_combination(answers):
-    prepared = score.prepare_wave(answers)
-    table = train.compare_strategies(
-        prepared, "aeciuo_2", "id", {"one": lambda d, l: train.train_single_field(d, "oficio_tarea", l)}, digits=[1]
-    )
-    assert [tuple(r)[:2] for r in table.collect()] == [("one", 1)]
+def test_compare_strategies_on_one_split(answers, monkeypatch):
+    splits = []
+    split = train.stratified_split
+    monkeypatch.setattr(train, "stratified_split", lambda *a, **k: splits.append(1) or split(*a, **k))
+    two_digits = F.concat((F.col("id") % 2).cast("string"), "aeciuo_2")
+    prepared = score.prepare_wave(answers).withColumn("aeciuo_2", two_digits)
+    strategies = train.text_strategies("oficio_tarea", "id", dim=8, passes=3)
+    table = train.compare_strategies(prepared, "aeciuo_2", "id", strategies).collect()
+    names = ["tfidf", "sequences", "embeddings", "two levels"]
+    assert [tuple(r)[:2] for r in table] == [(n, d) for d in (1, 2) for n in names]
+    assert len(splits) == 1 and len({r["n"] for r in table}) == 1
+
+
+def test_saved_model_scores_alike(answers, model, tmp_path):
+    path = str(tmp_path / "saved")
+    model.save(path)
+    again = train.Classifier.load(path, answers, ["oficio_proc", "tareas_proc"])
+    a, b = (m.score(score.prepare_wave(answers)).select("id", "probability") for m in (model, again))
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    with pytest.raises(ValueError):
+        train.Classifier.load(path, answers, ["other"])
+
+
+def test_unseen_words_and_empty_texts_are_scored(spark, model):
+    new = spark.createDataFrame([(1, "zzz yyy", "xxx"), (2, "", ""), (3, None, None)], "id long, oficio_proc string, tareas_proc string")
+    got = model.score(new).collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3]
+    assert all(sum(r["probability"]) == pytest.approx(1) for r in got)
 
 
 def test_stream_scores_each_file_once(spark, answers, model, tmp_path):
