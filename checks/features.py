@@ -123,6 +123,39 @@ def _(spark, sf):
     return matrix.select("idx", "word", _whole(F.col("embedding")).alias("embedding"), "covered")
 
 
+_GRAMS = "flatten([[substr('<' || word || '>', s, n) for s in range(1, length(word) + 4 - n)] for n in range(3, 7)])"
+_BYTE = "CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT)"
+
+
+@query(
+    "embedding_subwords",
+    f"""WITH without AS (SELECT word FROM f_vocab EXCEPT SELECT word FROM f_vectors),
+        grams AS (SELECT word, unnest({_GRAMS}) AS gram FROM without),
+        codes AS (SELECT word, hex(gram) AS code FROM grams),
+        placed AS (
+          SELECT word, list_reduce(
+              [2166136261] || [{_BYTE} + CASE WHEN {_BYTE} > 127 THEN 4294967040 ELSE 0 END for i in range(len(code) // 2)],
+              lambda h, b: (xor(h, b) * 16777619) & 4294967295) % (SELECT max(vec_id) + 1 FROM embeddings) AS bucket
+          FROM codes),
+        cells AS (
+          SELECT word, d, avg(CAST(embedding[d] AS DOUBLE)) AS x
+          FROM placed JOIN embeddings ON vec_id = bucket CROSS JOIN (SELECT unnest(range(1, {DIM + 1})) AS d) GROUP BY word, d),
+        built AS (
+          SELECT word, string_agg(CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY d) AS embedding
+          FROM cells GROUP BY word)
+        SELECT v.idx, v.word, coalesce(b.embedding, {_ZERO_TEXT}) AS embedding, b.word IS NOT NULL AS covered
+        FROM f_vocab v JOIN without USING (word) LEFT JOIN built b USING (word)""",
+)
+def _(spark, sf):
+    vocab = _vocabulary(spark, sf)
+    vectors = _vectors(spark, sf, vocab)
+    table = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("bucket"), "embedding")
+    buckets = table.agg(F.max("bucket")).first()[0] + 1
+    matrix = features.embedding_lookup(vocab, vectors, DIM, table, buckets)
+    without = matrix.join(vectors.select("word"), "word", "left_anti")
+    return without.select("idx", "word", _whole(F.col("embedding")).alias("embedding"), "covered")
+
+
 @query(
     "pool_embeddings",
     f"""WITH v AS (SELECT t.id, t.word, f.embedding FROM f_tokens t LEFT JOIN f_vectors f ON t.word = f.word),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -9,13 +11,14 @@ from pyspark.sql import functions as F
 
 from codewave.functions.arrays import pad_sequence
 from codewave.functions.text import vocabulary_tokens
-from codewave.operators.joins import lookup
 from codewave.operators.rank import exact_rank
 from codewave.session import stage_table
 
 # 0 is padding, 1 an unknown word, so words start at 2.
 UNKNOWN_INDEX, FIRST_INDEX = 1, 2
 
+POOLED_ROWS = 256  # answers of a block that are pooled at a time
+
 
 def fit_vocabulary(train: DataFrame, col: str, ident: str, tokens: Column | None = None) -> DataFrame:
     """``(word, n, n_docs, idx)``: words by frequency, ties by first appearance, from 2.
@@ -98,31 +101,129 @@ def tfidf(
     return per_index.select(ident, "idx", weight.alias("tfidf"))
 
 
-def embedding_lookup(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """``(idx, word, embedding, covered)``: zeros for a word without a vector."""
+def subword_grams(word: Column, low: int = 3, high: int = 6) -> Column:
+    """All runs of ``low`` to ``high`` letters of a word between the marks < and >."""
+    marked = F.concat(F.lit("<"), word, F.lit(">"))
+    runs = [
+        F.transform(
+            F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1)).otherwise(
+                F.array().cast("array<int>")
+            ),
+            _run(marked, n),
+        )
+        for n in range(low, high + 1)
+    ]
+    return F.concat(*runs)
+
+
+def _run(text: Column, n: int):
+    return lambda start: F.substring(text, start, F.lit(n))
+
+
+def gram_bucket(gram: Column, buckets: int) -> Column:
+    """The bucket of a run of letters: FNV-1a of its bytes in 32 bits, modulo the buckets.
+
+    Published sub-word models extend the sign of a byte before they mix it in; so does this.
+    """
+    code = F.hex(F.encode(gram, "UTF-8"))
+    places = F.sequence(F.lit(1), F.length(code), F.lit(2))
+    byte = F.transform(places, lambda p: F.conv(F.substring(code, p, F.lit(2)), 16, 10).cast("bigint"))
+    signed = F.transform(byte, lambda b: F.when(b > 127, b + 0xFFFFFF00).otherwise(b))
+    mixed = F.aggregate(
+        signed, F.lit(2166136261).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
+    )
+    return mixed % buckets
+
+
+def subword_vectors(
+    words: DataFrame, subwords: DataFrame, buckets: int, low: int = 3, high: int = 6
+) -> DataFrame:
+    """``(word, embedding)``: the mean of the vectors of a word's runs of letters.
+
+    ``subwords`` has (bucket, embedding). Words none of whose runs has a vector are left out.
+    Only different words are taken apart, and each bucket is joined to by number.
+    """
+    grams = words.select("word").distinct().select("word", F.explode(subword_grams(F.col("word"), low, high)).alias("gram"))
+    placed = grams.select("word", gram_bucket(F.col("gram"), buckets).alias("bucket"))
+    known = subwords.select(F.col("bucket").cast("bigint").alias("bucket"), F.col("embedding").cast("array<double>").alias("v"))
+    mean = Summarizer.mean(array_to_vector("v"))
+    return placed.join(known, "bucket").groupBy("word").agg(vector_to_array(mean).alias("embedding"))
+
+
+def embedding_lookup(
+    vocab: DataFrame,
+    vectors: DataFrame,
+    dim: int,
+    subwords: DataFrame | None = None,
+    buckets: int = 2_000_000,
+    low: int = 3,
+    high: int = 6,
+) -> DataFrame:
+    """``(idx, word, embedding, covered)``: zeros for a word without a vector.
+
+    With ``subwords`` (bucket, embedding) a word without a vector of its own gets the mean of
+    those of its runs of letters.
+    """
     zeros = F.array_repeat(F.lit(0.0), dim)
-    joined = vocab.select("idx", "word").join(vectors.select("word", "embedding"), "word", "left")
+    own = vectors.select("word", F.col("embedding").cast("array<double>").alias("embedding"))
+    joined = vocab.select("idx", "word").join(own, "word", "left")
+    if subwords is not None:
+        without = stage_table(joined.filter(F.col("embedding").isNull()).select("word"), "without_vector")
+        built = subword_vectors(without, subwords, buckets, low, high).withColumnRenamed("embedding", "_built")
+        joined = joined.join(built, "word", "left").withColumn("embedding", F.coalesce("embedding", "_built"))
     return joined.select(
-        "idx",
-        "word",
-        F.coalesce(F.col("embedding").cast("array<double>"), zeros).alias("embedding"),
-        F.col("embedding").isNotNull().alias("covered"),
+        "idx", "word", F.coalesce("embedding", zeros).alias("embedding"), F.col("embedding").isNotNull().alias("covered")
     )
 
 
-def pool_embeddings(tokens: DataFrame, vectors: DataFrame, ident: str, dim: int) -> DataFrame:
+def pool_embeddings(
+    tokens: DataFrame, vectors: DataFrame, ident: str, dim: int, blocks: int | None = None
+) -> DataFrame:
     """``(ident, pooled)``: element-wise maximum, then mean, of an answer's word vectors.
 
-    ``tokens`` has one row per token with an index. Repeated words are counted first,
-    and an unknown word counts as zeros. Tokens are placed by answer once: while the vectors
-    are broadcast, counting and summing need no further exchange.
+    ``tokens`` has one row per token with an index; an unknown word counts as zeros. Answers are
+    dealt into blocks. A block fetches the vector of each of its different words once and pools
+    locally, so what is exchanged are word counts and the different words of a block, not
+    dimensions per token. ``blocks`` is the session's number of partitions by default.
     """
-    counts = tokens.repartition(ident).groupBy(ident, "idx").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    joined = lookup(counts, vectors.select("idx", "embedding"), ["idx"])
-    vector = array_to_vector(F.coalesce(F.col("embedding").cast("array<double>"), zeros))
-    summary = Summarizer.metrics("max", "mean").summary(vector, F.col("w"))
-    pooled = joined.groupBy(ident).agg(summary.alias("s"))
-    return pooled.select(
-        ident, F.concat(vector_to_array("s.max"), vector_to_array("s.mean")).alias("pooled")
-    )
+    blocks = blocks or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("block")
+    placed = tokens.select(block, ident, "idx").repartition(blocks, "block")
+    counts = placed.groupBy("block", ident, "idx").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    words = counts.select(F.col("block").alias("at"), F.col("idx").alias("word")).distinct()
+    known = vectors.select(F.col("idx").alias("word"), F.col("embedding").cast("array<double>").alias("v"))
+    fetched = words.join(known, "word").select("at", "word", "v")
+    id_type = tokens.schema[ident].dataType.simpleString()
+
+    def pool(left: pa.Table, right: pa.Table) -> pa.Table:
+        coded = left.column(ident).combine_chunks().dictionary_encode()
+        coded = coded if isinstance(coded, pa.DictionaryArray) else coded.combine_chunks()
+        answer = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        word = right.column("word").to_numpy()
+        matrix = np.zeros((len(word) + 1, dim))  # the last row for words without a vector
+        if len(word):
+            matrix[:-1] = right.column("v").combine_chunks().flatten().to_numpy().reshape(len(word), dim)
+        by_word = np.argsort(word)
+        wanted = left.column("idx").to_numpy()
+        at = np.searchsorted(word[by_word], wanted)
+        found = at < len(word)
+        found[found] = word[by_word][at[found]] == wanted[found]
+        row = np.full(len(wanted), len(word))
+        row[found] = by_word[at[found]]
+        order = np.argsort(answer, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(answer[order]) != 0]))
+        out = []
+        for start in range(0, len(first), POOLED_ROWS):
+            part = first[start : start + POOLED_ROWS]
+            end = first[start + POOLED_ROWS] if start + POOLED_ROWS < len(first) else len(order)
+            mine = order[part[0] : end]
+            weight = left.column("w").to_numpy()[mine]
+            values, begin = matrix[row[mine]], part - part[0]
+            mean = np.add.reduceat(values * weight[:, None], begin) / np.add.reduceat(weight, begin)[:, None]
+            out.append(np.concatenate([np.maximum.reduceat(values, begin), mean], axis=1))
+        pooled = np.concatenate(out)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * 2 * dim, pa.int32()), pa.array(pooled.ravel()))
+        return pa.table([left.column(ident).take(pa.array(order[first])), lists], names=[ident, "pooled"])
+
+    pairs = counts.groupBy("block").cogroup(fetched.groupBy("at"))
+    return pairs.applyInArrow(pool, f"`{ident}` {id_type}, pooled array<double>")
