@@ -57,6 +57,50 @@ def _(spark, sf):
     return numbered.select(F.col("AE09A").alias("ae09a"), F.col("AE09B").alias("ae09b"), "folio", "nro_rph")
 
 
+def _person_files(spark, sf) -> list[str]:
+    """Persons in three folders of several files, the last ones of a household first."""
+    paths = []
+    for i in range(3):
+        path = scratch_path(spark, "persons")
+        part = V.f_person(spark, sf).filter(F.col("folio") % 3 == i)
+        placed = part.repartitionByRange(4, F.desc("orden"), "folio").sortWithinPartitions(F.desc("orden"), "folio")
+        placed.write.parquet(path)
+        paths.append(path)
+    return paths
+
+
+@query(
+    "load_person_files",
+    """SELECT "AE09A" AS ae09a, "AE09B" AS ae09b, folio,
+         row_number() OVER (PARTITION BY folio ORDER BY orden DESC) AS nro_rph FROM f_person""",
+)
+def _(spark, sf):
+    numbered = readers.load_person_files(spark, _person_files(spark, sf), ["AE09A", "AE09B"], "folio")
+    return numbered.select(F.col("AE09A").alias("ae09a"), F.col("AE09B").alias("ae09b"), "folio", "nro_rph")
+
+
+@query(
+    "file_row_id",
+    "SELECT folio, orden, row_number() OVER (ORDER BY folio % 3, orden DESC, folio) AS id_fila FROM f_person",
+)
+def _(spark, sf):
+    rows = readers.read_in_order(spark, _person_files(spark, sf))
+    return assemble.file_row_id(rows).select("folio", "orden", "id_fila")
+
+
+@query(
+    "load_union_checked",
+    """SELECT CASE WHEN codigo = 'Recuperar' THEN codigo END AS valor, count(*) AS n FROM f_human_rows GROUP BY 1""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "human")
+    V.f_human_rows(spark, sf).write.parquet(path)
+    schema = T.StructType([T.StructField("interview_id", T.LongType()), T.StructField("codigo", T.IntegerType())])
+    loaded = readers.load_union_checked([path], schema, spark=spark)
+    kept = loaded.rows.select(F.lit(None).cast("string").alias("valor"))
+    return kept.union(loaded.rejected.select("value")).groupBy("valor").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("load_tagged_arms", "SELECT interview_id, submuestra, human, arm AS tipo FROM f_codings")
 def _(spark, sf):
     df = V.f_codings(spark, sf).select("interview_id", "submuestra", "human", "arm")

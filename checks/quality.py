@@ -10,6 +10,8 @@ from codewave.functions.codes import agreement_text
 from codewave.operators import quality, triage
 from codewave.operators.reconcile import normalize_flag
 from codewave.plans.code_wave import sheets
+from codewave.session import scratch_path
+from codewave.sources import writers
 
 WAVES = (80, 81, 82, 1, 2, 3, 4)
 
@@ -30,6 +32,15 @@ def _(spark, sf):
     return both.select("interview_id", "oficio", "dificultad", "parte")
 
 
+@query("publish_tables", f"SELECT interview_id, CASE WHEN humano THEN 'humano' ELSE 'auto' END AS parte FROM {_HUMAN}")
+def _(spark, sf):
+    human, auto = _triage(spark, sf)
+    root = scratch_path(spark, "published")
+    writers.publish_tables({"humano": human, "auto": auto}, root, "01")
+    parts = [writers.read_published(spark, root, name).select("interview_id", F.lit(name).alias("parte")) for name in ("humano", "auto")]
+    return parts[0].union(parts[1])
+
+
 @query(
     "remaining_rows",
     f"""WITH t AS (SELECT pred, human, submuestra, nro_rph, oficio, arm, humano FROM {_HUMAN})

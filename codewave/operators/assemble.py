@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from codewave.functions.nulls import code_text
 from codewave.operators.joins import lookup
 from codewave.operators.rank import exact_rank, group_hash_cuts
+from codewave.session import stage_table
 
 # Survey order of the waves, the trial waves first.
 TRIAL_WAVES = (80, 81, 82)
@@ -61,6 +62,50 @@ def global_row_id(df: DataFrame, order: str, out: str = "id_fila") -> DataFrame:
     return exact_rank(df, order, order, out=out)
 
 
+#: Place of a row, as ``sources.readers.read_in_order`` gives it.
+FILE_NO, ROW_NO = "_file_no", "_row_no"
+ORDER_CHUNK = 1 << 20  # rows of a file that are numbered together
+
+
+def seq_in_file_order(df: DataFrame, key: str, out: str = "nro_rph") -> DataFrame:
+    """Position within a household in the order of the files; the place columns are dropped.
+
+    Rows are numbered within a household and a stretch of a file, and the counts of earlier
+    stretches are added, so a household that fills whole files is still spread over tasks. Both
+    steps share one exchange of the rows.
+    """
+    blank = "" if df.schema[key].dataType.simpleString() == "string" else 0
+    kind = df.schema[key].dataType.simpleString()
+    placed = df.withColumns(
+        {
+            "_k": F.coalesce(F.col(key), F.lit(blank).cast(kind)),
+            "_null": F.col(key).isNull(),
+            "_chunk": F.floor(F.col(ROW_NO) / ORDER_CHUNK),
+        }
+    )
+    household, stretch = ["_k", "_null"], ["_k", "_null", FILE_NO, "_chunk"]
+    counts = placed.groupBy(*stretch).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*household).orderBy(FILE_NO, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*stretch, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy(*stretch).orderBy(ROW_NO))
+    numbered = placed.withColumn("_number", number).join(before, stretch)
+    kept = [c for c in df.columns if c not in (FILE_NO, ROW_NO)]
+    return numbered.select(*kept, (F.col("_before") + F.col("_number")).alias(out))
+
+
+def file_row_id(df: DataFrame, out: str = "id_fila") -> DataFrame:
+    """1..N over all rows of the files, in their order; the place columns are dropped.
+
+    The number is the size of the earlier files plus the place in the file: no row is exchanged.
+    ``df`` has all rows of its files.
+    """
+    sizes = df.groupBy(FILE_NO).agg(F.count(F.lit(1)).alias("_n"))  # one line per file
+    earlier = Window.orderBy(FILE_NO).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(FILE_NO, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    kept = [c for c in df.columns if c not in (FILE_NO, ROW_NO)]
+    return df.join(stage_table(before, "file_sizes"), FILE_NO).select(*kept, (F.col("_before") + F.col(ROW_NO) + 1).alias(out))
+
+
 def merge_origins(
     origins: Mapping[str, DataFrame], code: str = "aeciuo_2", tag: str = "origen"
 ) -> DataFrame:

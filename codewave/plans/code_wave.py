@@ -12,6 +12,7 @@ from codewave.operators.score import decode_prediction, score_wave
 from codewave.operators.train import Classifier
 from codewave.operators.triage import TECHNICAL_COLUMNS, assign_reviewers, make_worksheet, triage_split
 from codewave.session import stage_table
+from codewave.sources.writers import publish_tables
 
 DIFFICULTY = "dificultad"
 
@@ -58,3 +59,21 @@ def code_wave(
     """
     scored = score_wave(model, wave, text_cols).select(*wave.columns, "proba")
     return sheets(scored, model.keys, catalogue, ident, reviewers, p_auto)
+
+
+HUMAN_SHEET, TECHNICAL_SHEET = "codificacion", "revision_tecnica"
+
+
+def publish_wave(
+    model: Classifier,
+    wave: DataFrame,
+    catalogue: DataFrame,
+    ident: str,
+    reviewers: Sequence[str],
+    root: str,
+    version: str,
+    **options,
+) -> bool:
+    """Code a wave and deliver both sheets as one version; a version is delivered once."""
+    human, technical = code_wave(model, wave, catalogue, ident, reviewers, **options)
+    return publish_tables({HUMAN_SHEET: human, TECHNICAL_SHEET: technical}, root, version)

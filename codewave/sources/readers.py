@@ -6,12 +6,14 @@ import json
 import re
 import unicodedata
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codewave.operators.assemble import seq_in_group
+from codewave.operators.assemble import FILE_NO, ROW_NO, seq_in_file_order, seq_in_group
+from codewave.session import stage_table
 
 
 def _pick(columns: Sequence[str], name: str, alias: str | None) -> str | None:
@@ -40,6 +42,116 @@ def _layouts(spark: SparkSession, paths: Sequence[str], file_format: str) -> lis
     ]
 
 
+def read_in_order(
+    spark: SparkSession, paths: Sequence[str], file_format: str = "parquet", schema: T.StructType | None = None
+) -> DataFrame:
+    """Rows of files with their place: ``_file_no`` from 0, and ``_row_no`` from 0 in the file.
+
+    Files follow the order of ``paths``, those of one folder their names. A Parquet reader tells
+    the place of a row itself. Of other formats the reader tells the split, whose rows it numbers
+    without gaps; the rows are written once so that these numbers stay, and the sizes of earlier
+    splits are added up. No row is exchanged in either case.
+    """
+    stacked = None
+    for i, path in enumerate(paths):
+        reader = spark.read.schema(schema) if schema else spark.read
+        frame = reader.format(file_format).load(path)
+        place = {"_path_no": F.lit(i), "_file": F.col("_metadata.file_path")}
+        if file_format == "parquet":
+            place[ROW_NO] = F.col("_metadata.row_index")
+        else:
+            place |= {"_split": F.col("_metadata.file_block_start"), ROW_NO: F.monotonically_increasing_id()}
+        part = frame.withColumns(place)
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    file = ["_path_no", "_file"]
+    if file_format != "parquet":
+        stacked = stage_table(stacked, "ordered")
+        splits = stacked.groupBy(*file, "_split").agg(F.min(ROW_NO).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*file).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        stacked = stacked.join(stage_table(splits.drop("_n"), "splits"), [*file, "_split"])
+        stacked = stacked.withColumn(ROW_NO, F.col("_before") + F.col(ROW_NO) - F.col("_first"))
+        stacked = stacked.drop("_split", "_first", "_before")
+    # One line per file.
+    files = stage_table(stacked.select(*file).distinct(), "files")
+    numbered = files.withColumn(FILE_NO, F.row_number().over(Window.orderBy(*file)) - 1)
+    return stacked.join(stage_table(numbered, "file_numbers"), file).drop(*file)
+
+
+def load_person_files(
+    spark: SparkSession,
+    paths: Sequence[str],
+    keep: Sequence[str],
+    household: str,
+    out: str = "nro_rph",
+    file_format: str = "parquet",
+) -> DataFrame:
+    """Raw person files stacked, with the number of each person in the household in file order."""
+    rows = read_in_order(spark, paths, file_format).select(*dict.fromkeys([*keep, household]), FILE_NO, ROW_NO)
+    return seq_in_file_order(rows, household, out)
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """Rows that fit the schema, and the values that did not, with the place of their row.
+
+    ``rejected`` has (file, row_no, column, value): a row with several bad values has several
+    lines, and is in ``rows`` with none of them.
+    """
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def load_union_checked(
+    sources: Sequence[str | DataFrame],
+    schema: T.StructType,
+    aliases: Mapping[str, str] | None = None,
+    defaults: Mapping[str, object] | None = None,
+    spark: SparkSession | None = None,
+    file_format: str = "parquet",
+) -> Loaded:
+    """As ``load_union``, but a value that can't have the type of its column goes to a second
+    output with its file and place instead of stopping the job. Frames have no file.
+
+    A number of another width or with a fraction is a bad value if the type would change it.
+    """
+    aliases, defaults = aliases or {}, defaults or {}
+    frames = [(s, None) for s in sources if isinstance(s, DataFrame)]
+    paths = [s for s in sources if not isinstance(s, DataFrame)]
+    for frame in _layouts(spark or SparkSession.active(), paths, file_format) if paths else []:
+        place = F.col("_metadata.row_index") if file_format == "parquet" else F.lit(None).cast("bigint")
+        frames.append((frame, (F.col("_metadata.file_path"), place)))
+    stacked = None
+    for frame, place in frames:
+        file, row = place or (F.lit(None).cast("string"), F.lit(None).cast("bigint"))
+        cols, faults = [], []
+        for field in schema:
+            source = _pick(frame.columns, field.name, aliases.get(field.name))
+            value = F.lit(defaults.get(field.name)) if source is None else F.col(f"`{source}`")
+            fitted = value.try_cast(field.dataType)
+            cols.append(fitted.alias(field.name))
+            faults.append(_fault(field, value, fitted))
+        bad = F.filter(F.array(*faults), lambda f: f.isNotNull())
+        part = frame.select(*cols, file.alias("_file"), row.alias("_row"), bad.alias("_bad"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    rows = stacked.filter(F.size("_bad") == 0).select(*schema.names)
+    rejected = stacked.filter(F.size("_bad") > 0).select(
+        F.col("_file").alias("file"), F.col("_row").alias("row_no"), F.inline("_bad")
+    )
+    return Loaded(rows, rejected)
+
+
+def _fault(field: T.StructField, value: Column, fitted: Column) -> Column:
+    """(column, value) where a value is lost or changed by its new type, else null."""
+    lost = value.isNotNull() & fitted.isNull()
+    if isinstance(field.dataType, T.IntegralType):
+        number = value.cast("string").try_cast("double")
+        lost = lost | (number.isNotNull() & (number != F.floor(number)))
+    told = F.struct(F.lit(field.name).alias("column"), value.cast("string").alias("value"))
+    return F.when(F.coalesce(lost, F.lit(False)), told)
+
+
 def load_union(
     sources: Sequence[str | DataFrame],
     schema: T.StructType,

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codewave.operators.score import score_wave
 from codewave.operators.train import Classifier
+from codewave.plans.code_wave import publish_wave
 
 
 def score_wave_stream(
@@ -34,3 +35,31 @@ def score_wave_stream(
 
     query = waves.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return query.trigger(availableNow=True).start()
+
+
+def code_wave_stream(
+    spark: SparkSession,
+    model: Classifier,
+    folder: str,
+    schema: T.StructType,
+    catalogue: DataFrame,
+    ident: str,
+    reviewers: Sequence[str],
+    root: str,
+    checkpoint: str,
+    max_files: int = 1,
+    **options,
+) -> StreamingQuery:
+    """Both sheets of every wave file that has arrived, one published version per batch.
+
+    The version is the number of the batch, so a batch that runs again after its sheets were
+    delivered delivers nothing, and one that was stopped between the sheets replaces them.
+    """
+    waves = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            publish_wave(model, batch, catalogue, ident, reviewers, root, f"{number:010d}", **options)
+
+    query = waves.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+    return query.trigger(availableNow=True).start()
