@@ -386,7 +386,8 @@ def _(spark, sf):
     + " FROM bins GROUP BY submuestra",
 )
 def _(spark, sf):
-    return quality.cumulative_misses(_bins(spark, sf), "submuestra", "predice2")
+    bins = quality.difficulty_bin(V.f_hits(spark, sf), "submuestra", "dificultad", "interview_id", "predice2")
+    return quality.cumulative_misses(bins, "submuestra", "predice2")
 
 
 # --- tables -----------------------------------------------------------------------

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from codewave.functions.codes import agreement_text
 from codewave.functions.nulls import count_if, is_in, mean_or_null, sum_or_null
 from codewave.operators.assemble import floor_share, ordered_waves
-from codewave.operators.rank import exact_rank, kth_smallest
+from codewave.operators.joins import null_safe_join
+from codewave.operators.rank import at_or_before, exact_rank, group_cut_points, kth_smallest
 from codewave.operators.triage import exclude_listed
 from codewave.session import stage_table
 
@@ -281,16 +282,18 @@ def cutoff_accuracy_grid(
 ) -> DataFrame:
     """Per wave and cut p, the share of hits in its floor(n * p) easiest rows.
 
-    Unknown hits count as rows but not as hits, and a slice without hits is 0. All
-    cuts are conditional counts of one pass over the ranked rows.
+    Unknown hits count as rows but not as hits, and a slice without hits is 0. The first
+    row of every slice is found first, for all waves and cuts at once; the counts are then
+    conditions on the rows where they are, which are not exchanged.
     """
-    ranked = _ranked_in_wave(df, wave, difficulty, ident, hit)
-    size = {p: F.floor(F.col("wave_n") * F.lit(float(p))) for p in cuts}
+    size = {p: F.floor(F.col("n") * F.lit(float(p))) for p in cuts}
+    bounds = group_cut_points(df, wave, difficulty, ident, [1 - p for p in cuts], [F.col("n") - size[p] for p in cuts])
+    marked = null_safe_join(df.select(wave, difficulty, ident, hit), bounds, [wave])
     hits = [
-        count_if((F.col(hit) == 1) & (F.col("rank") > F.col("wave_n") - size[p])).alias(f"h{i}")
-        for i, p in enumerate(cuts)
+        count_if((F.col(hit) == 1) & ~at_or_before(F.col(difficulty), F.col(ident), F.col("cuts")[i])).alias(f"h{i}")
+        for i in range(len(cuts))
     ]
-    per_wave = ranked.groupBy(wave, "wave_n").agg(*hits)
+    per_wave = marked.groupBy(wave, "n").agg(*hits)
     cells = F.array(
         *[
             F.struct(
@@ -302,7 +305,7 @@ def cutoff_accuracy_grid(
             for i, p in enumerate(cuts)
         ]
     )
-    return per_wave.select(wave, F.col("wave_n").alias("n"), F.explode(cells).alias("c")).select(
+    return per_wave.select(wave, "n", F.explode(cells).alias("c")).select(
         wave, "n", "c.cut", "c.p", "c.k", "c.hits",
         F.when(F.col("c.k") > 0, F.col("c.hits") / F.when(F.col("c.k") > 0, F.col("c.k")))
         .otherwise(F.lit(0.0))
@@ -347,6 +350,21 @@ def difficulty_bins(
     return ranked.select(wave, ident, hit, d.alias("d"), passed.alias("bin"))
 
 
+def difficulty_bin(
+    df: DataFrame, wave: str, difficulty: str, ident: str, hit: str, limits: Sequence[float] = BIN_LIMITS
+) -> DataFrame:
+    """The bins of ``difficulty_bins`` without the positions: rows are compared with the breaks
+    of their wave where they are, and none is exchanged."""
+    breaks = [F.round(F.lit(float(p)) * (F.col("n") - 1), 9) for p in limits[:-1]]
+    ranks = [F.floor(F.col("n") - b) for b in breaks]  # d >= b for the rows up to this one
+    bounds = group_cut_points(df, wave, difficulty, ident, [1 - p for p in limits[:-1]], ranks)
+    marked = null_safe_join(df.select(wave, difficulty, ident, hit), bounds, [wave])
+    passed = [
+        at_or_before(F.col(difficulty), F.col(ident), F.col("cuts")[i]).cast("int") for i in range(len(ranks))
+    ]
+    return marked.select(wave, ident, hit, reduce(lambda a, b: a + b, passed).alias("bin"))
+
+
 def cumulative_misses(bins: DataFrame, wave: str, hit: str, labels: Sequence[str] = BIN_LABELS) -> DataFrame:
     """Misses per wave, cumulated over the bins, one column per bin."""
     totals = [

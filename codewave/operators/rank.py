@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from codewave.operators.joins import lookup
+from codewave.operators.joins import lookup, null_safe_join
+from codewave.session import stage_table
 
 SELECT_ROWS = 1_000_000
 _LARGEST = sys.float_info.max
@@ -240,3 +241,94 @@ def group_hash_cuts(
         .filter(F.col("row") == F.col("k") - F.col("before"))
         .select(F.col("g").alias(group), F.col("h").alias("cut_hash"), F.col("i").alias("cut_id"), "n")
     )
+
+
+SKETCH = 10_000  # a sketched boundary is off by no more than one row in so many
+FEW_ROWS = 200_000  # that one task may sort
+SMALL_GROUP = 1_000  # rows of a group that are ranked without boundaries
+
+
+def _finite_or_last(col: Column) -> Column:
+    """As a double below infinity, missing values as infinity, behind all others."""
+    number = _present(col).cast("double")
+    return F.when(number.isNull(), F.lit(math.inf)).when(number > _LARGEST, F.lit(_LARGEST)).otherwise(number)
+
+
+def group_cut_points(
+    df: DataFrame, group: str, value: str, ident: str, fractions: Sequence[float], ranks: Sequence[Column]
+) -> DataFrame:
+    """``(group, n, cuts)``: for every group its rows of certain ranks, as one small table.
+
+    A rank is an expression of ``n``, the size of the group, and close to its fraction of n. Order
+    is by value (missing last), then by the unique ident. ``cuts`` has {v, i} per rank, null where
+    the rank is below one. Sketches that are merged per group bracket every cut; counts tell
+    whether the brackets hold and how many rows are below; only rows inside a bracket are
+    exchanged and ranked, about four in SKETCH per cut, and those that tie with it.
+    """
+    v = _finite_or_last(F.col(value))
+    rows = df.select(F.col(group).alias("g"), v.alias("v"), F.col(ident).alias("i"))
+    spans = range(len(ranks))
+    if rows.count() <= FEW_ROWS:
+        own = Window.partitionBy("g")
+        placed = rows.withColumns(
+            {"n": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("v", "i"))}
+        )
+        at = [F.max(F.when(F.col("rank") == F.least(rank, F.col("n")), F.struct("v", "i"))) for rank in ranks]
+        cuts = placed.groupBy("g", "n").agg(F.array(*at).alias("cuts"))
+        return stage_table(cuts.withColumnRenamed("g", group), "cuts")
+    margin = 2.0 / SKETCH
+    probs = [min(max(f + side, 0.0), 1.0) for f in fractions for side in (-margin, margin)]
+    sketch = F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), F.lit(SKETCH))
+    stats = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), sketch.alias("q"))
+    small = F.col("n") < SMALL_GROUP
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(j).alias("j"),
+                F.least(rank, F.col("n")).cast("bigint").alias("k"),
+                F.when(small, F.lit(-math.inf)).otherwise(F.get("q", 2 * j)).alias("lo"),
+                F.when(small, F.lit(math.inf)).otherwise(F.get("q", 2 * j + 1)).alias("hi"),
+            )
+            for j, rank in enumerate(ranks)
+        ]
+    )
+    brackets = stage_table(stats.select("g", "n", wanted.alias("w")), "sketches")
+    counted = null_safe_join(rows, brackets, ["g"]).groupBy("g", "n", "w").agg(
+        *[F.count(F.when(F.col("v") < F.col("w")[j]["lo"], 1)).alias(f"below{j}") for j in spans],
+        *[F.count(F.when(F.col("v") <= F.col("w")[j]["hi"], 1)).alias(f"upto{j}") for j in spans],
+    )
+    checked = []
+    for j in spans:
+        w = F.col("w")[j]
+        holds = (F.col(f"below{j}") < w["k"]) & (w["k"] <= F.col(f"upto{j}"))
+        checked.append(
+            F.struct(
+                w["j"].alias("j"),
+                (w["k"] - F.when(holds, F.col(f"below{j}")).otherwise(0)).alias("k"),
+                F.when(holds, w["lo"]).otherwise(-math.inf).alias("lo"),
+                F.when(holds, w["hi"]).otherwise(math.inf).alias("hi"),
+            )
+        )
+    # A rank below one has no row.
+    sound = F.filter(F.array(*checked), lambda w: w["k"] > 0)
+    brackets = stage_table(counted.select("g", "n", sound.alias("w")), "brackets")
+    near = null_safe_join(rows, brackets, ["g"]).select("g", "v", "i", F.explode("w").alias("w"))
+    near = near.filter(F.col("v").between(F.col("w.lo"), F.col("w.hi")))
+    near = stage_table(near.select("g", F.col("w.j").alias("j"), F.col("w.k").alias("k"), "v", "i"), "near")
+    if near.count() <= FEW_ROWS:
+        order = Window.partitionBy("g", "j").orderBy("v", "i")
+        ranked = near.withColumn("rank", F.row_number().over(order))
+    else:
+        ranked = exact_rank(near, "v", "i", group_by=["g", "j"])
+    found = ranked.filter(F.col("rank") == F.col("k")).groupBy("g").agg(
+        *[F.max(F.when(F.col("j") == j, F.struct("v", "i"))).alias(f"c{j}") for j in spans]
+    )
+    cuts = F.array(*[F.col(f"c{j}") for j in spans]).alias("cuts")
+    joined = null_safe_join(brackets.select("g", "n"), found, ["g"], "left")
+    return stage_table(joined.select(F.col("g").alias(group), "n", cuts), "cuts")
+
+
+def at_or_before(value: Column, ident: Column, cut: Column) -> Column:
+    """True for rows up to a cut of ``group_cut_points``; false for all if there is none."""
+    v = _finite_or_last(value)
+    return F.coalesce((v < cut["v"]) | ((v == cut["v"]) & (ident <= cut["i"])), F.lit(False))

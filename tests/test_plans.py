@@ -70,12 +70,17 @@ def test_answers_are_exchanged_once(spark):
     assert exchanges(features.tfidf(text, text, "t", "id", vocab)) == 1
     tokens = features.encode_tokens(text, "t", "id", vocab)
     vectors = vocab.select("idx", F.array(F.lit(1.0), F.col("idx").cast("double")).alias("embedding"))
-    assert exchanges(features.pool_embeddings(tokens, vectors, "id", 2)) == 1
+    pooled = plan(features.pool_embeddings(tokens, vectors, "id", 2))
+    # The tokens by block, for both sides of the fetch; small vectors are broadcast to the words.
+    assert pooled.count("REPARTITION_BY_NUM") == 2 and pooled.count("ENSURE_REQUIREMENTS") == 0
 
 
-def test_size_of_a_wave_comes_from_the_bucket_counts(spark):
-    from codewave.operators.quality import cutoff_accuracy_grid
+def test_cut_offs_leave_the_rows_where_they_are(spark):
+    from codewave.operators.quality import cutoff_accuracy_grid, difficulty_bin
 
     orders = spark.read.parquet(f"{SF}/orders.parquet").withColumn("hit", F.lit(1))
-    grid = cutoff_accuracy_grid(orders, "o_orderstatus", "o_totalprice", "o_orderkey", "hit")
-    assert plan(grid).count("FileScan") == 2  # ranked rows and bucket counts
+    names = ("o_orderstatus", "o_totalprice", "o_orderkey", "hit")
+    grid = cutoff_accuracy_grid(orders, *names)
+    assert plan(grid).count("orders.parquet") == 1 and exchanges(grid) == 1  # of the counts per wave
+    assert "SortMergeJoin" not in plan(grid)
+    assert exchanges(difficulty_bin(orders, *names)) == 0

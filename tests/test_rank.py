@@ -142,3 +142,33 @@ def test_singleton_class_goes_to_train(spark):
     df = spark.createDataFrame([(1, "only"), (2, "x"), (3, "x")], "id long, g string")
     got = {r["id"]: r["split"] for r in stratified_split(df, "g", "id").collect()}
     assert got[1] == "train"
+
+
+@pytest.mark.parametrize("few", [200_000, 3000, 10])
+def test_cut_points_of_groups(spark, monkeypatch, few):
+    """Ties, hot values, missing values and small groups, against a sort."""
+    random.seed(8)
+    monkeypatch.setattr(R, "SMALL_GROUP", 50)
+    monkeypatch.setattr(R, "SKETCH", 200)
+    monkeypatch.setattr(R, "FEW_ROWS", few)
+    rows = []
+    for g, n in (("a", 3000), ("b", 700), ("c", 20), (None, 60), ("tied", 900)):
+        for _ in range(n):
+            value = random.choice([None, math.nan, random.random()] + [random.gauss(0, 9)] * 9)
+            value = 5.0 if g == "tied" and random.random() < 0.7 else value
+            rows.append((g, value, len(rows) * 7919 % 10007))
+    df = spark.createDataFrame(rows, "g string, v double, i long")
+    fractions = [0.95, 0.5, 0.1, 0.0]
+    n = F.col("n")
+    ranks = [F.floor(n * F.lit(f)) for f in fractions]
+    found = {r["g"]: r for r in R.group_cut_points(df, "g", "v", "i", fractions, ranks).collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted(((v is None or v != v, 0 if v is None or v != v else v, i) for x, v, i in rows if x == g))
+        assert found[g]["n"] == len(mine)
+        for f, cut in zip(fractions, found[g]["cuts"]):
+            k = int(len(mine) * f)
+            if k == 0:
+                assert cut is None
+            else:
+                missing, v, i = mine[k - 1]
+                assert cut["i"] == i and cut["v"] == (math.inf if missing else v)
