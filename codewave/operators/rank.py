@@ -206,7 +206,9 @@ def kth_smallest(
             break
         in_bucket = (F.col("_b") == hit["_b"]) & (F.col("_s") == hit["_s"])
         rows, n = keyed.filter(in_bucket).select("v", "i"), hit["size"]
-    found = rows.orderBy(_order(F.col("v"), descending), "i").offset(k - 1).limit(1).collect()
+    # The last rows are numbered by one task; only the row that is asked for is fetched.
+    number = F.row_number().over(Window.orderBy(_order(F.col("v"), descending), "i"))
+    found = rows.withColumn("row", number).filter(F.col("row") == k).collect()
     return CutPoint(found[0]["v"], found[0]["i"], descending) if found else None
 
 

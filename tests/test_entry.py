@@ -4,6 +4,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 BLIND = """
@@ -20,3 +22,17 @@ assert len(entry.queries()) >= len(entry.oracle_sql()) >= 86
 def test_entry_imports_without_spark_jars():
     done = subprocess.run([sys.executable, "-c", BLIND], cwd=ROOT, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("library", ["xxhash", "tokenizers", "ahocorasick", "corpus_pipeline"])
+def test_a_missing_library_costs_only_its_group(library):
+    code = f"""
+import sys
+sys.modules[{library!r}] = None
+import __spark_entry__ as entry
+from checks import registry
+assert set(registry.QUERIES) <= set(entry.queries()) and len(entry.queries()) >= 92
+assert set(entry.oracle_sql()) <= set(entry.queries())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
