@@ -42,6 +42,7 @@ PIECE = 128
 WINDOWS = LENGTH - PIECE + 1  # pieces in a window
 TEXT_PART = 1 << 22  # bytes of a text that are searched for anchors at a time
 SHARD_INTERVALS = 2048  # different intervals of one anchor in one shard
+TASK_INTERVALS = 20_000  # different intervals in a task that sorts shards
 BATCH_BYTES = 1 << 20  # of small shards that are sorted together
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -266,7 +267,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-def _search_shards(shards: DataFrame) -> DataFrame:
+def _search_shards(shards: DataFrame, tasks: int) -> DataFrame:
     """Sorts every shard (anchor, shard); one row per interval with its repeated ranges.
 
     Where an anchor has several shards, each different window is sent along by digest.
@@ -307,7 +308,7 @@ def _search_shards(shards: DataFrame) -> DataFrame:
             yield solve(held)
 
     columns = ["anchor", "shard", "shards", "content", "windows", "bytes"]
-    ordered = shards.select(columns).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
+    ordered = shards.select(columns).repartition(tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard")
     return ordered.mapInArrow(
         run,
         "anchor bigint, content string, shard int, ranges array<struct<a:bigint,b:bigint>>, "
@@ -363,7 +364,8 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
         "k", "th", "m", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1, F.lit(4))).alias("p")
     )
     each = each.select("k", "th", "m", *fields)
-    again = each.groupBy("anchor").agg(F.sum("m").alias("n")).filter("n > 1").select("anchor")
+    # Written, so that both joins by anchor read plain exchanges, whose hot keys are split.
+    again = stage_table(each.groupBy("anchor").agg(F.sum("m").alias("n")).filter("n > 1").select("anchor"), "again")
     wanted = each.join(again, "anchor").groupBy("k", "th", "m")
     wanted = wanted.agg(F.collect_list(F.struct("anchor", "first", "windows", "place")).alias("list"))
     # A row that repeats an id and its text is cut again: m is above 1 then in any case.
@@ -372,10 +374,12 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     contents = cut.groupBy("anchor", "content", "windows").agg(F.sum("m").alias("n"))
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
     shards = F.ceil(F.col("kinds") / SHARD_INTERVALS).cast("int")
-    open_ = kinds.filter("kinds > 1").select("anchor", shards.alias("shards"))
-    body = cut.join(open_, "anchor").dropDuplicates(["anchor", "content"])
+    open_ = stage_table(kinds.filter("kinds > 1").select("anchor", "kinds", shards.alias("shards")), "open")
+    body = cut.join(open_.drop("kinds"), "anchor").dropDuplicates(["anchor", "content"])
     body = body.withColumn("shard", F.pmod(F.xxhash64("content"), F.col("shards")).cast("int"))
-    sorted_ = stage_table(_search_shards(body), "shards")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, (open_.agg(F.sum("kinds")).first()[0] or 0) // TASK_INTERVALS)
+    sorted_ = stage_table(_search_shards(body, tasks), "shards")
 
     whole = contents.filter("n > 1").select(
         "anchor", "content", F.lit(0).cast("bigint").alias("a"), (F.col("windows") + LENGTH - 1).alias("b")
