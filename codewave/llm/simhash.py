@@ -172,7 +172,7 @@ def close_links(distinct: DataFrame, bits: int) -> DataFrame:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """(id, node, sketch): the node is the digest of the sketch."""
+    """(id, th, node, sketch): th is a hash of the text, the node the digest of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +181,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int
             flat = np.concatenate([np.zeros(0, "<u8"), *made]).view(np.int64)
             offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * LANES)
             lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            columns = [batch.column(0), pa.array(nodes, pa.string()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "sketch"])
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.string()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "node", "sketch"])
+
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), text_hash(text).alias("th"))
+    return narrow.mapInArrow(run, "id bigint, th bigint, node string, sketch array<bigint>")
 
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id bigint, node string, sketch array<bigint>")
+
+def text_hash(text: Column) -> Column:
+    """Tells texts under one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def similar_links(distinct: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
@@ -237,19 +243,26 @@ def _spanning_sketches(values: np.ndarray, bits: int) -> np.ndarray:
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5
 ) -> DataFrame:
-    """The rows of ``docs`` that stay: of documents linked at a similarity of 0.8 or more, directly
-    or over others, the one with the smallest id. Rows with a null id stay.
+    """The rows of ``docs`` that stay: of documents linked at a similarity of about 0.8 or more,
+    directly or over others, the one with the smallest id.
+
+    A document is an id and its text: of texts under one id each is judged by itself, and of two
+    that are linked the one with the smaller hash stays. Rows that repeat both stay together or
+    go together. Rows with a null id stay. Texts without words are copies of one another.
     """
     rows = stage_table(sketches(docs, id_col, text_col, words_per_shingle), "sketches")
+    document = F.when(F.col("id").isNotNull(), F.struct("id", "th"))
     distinct = stage_table(
-        rows.groupBy("node").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch")), "distinct"
+        rows.groupBy("node").agg(F.min(document).alias("first"), F.first("sketch").alias("sketch")), "distinct"
     )
     roots = components(similar_links(distinct))
     rooted = distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("stays"))
     named = rooted.join(least, "root").select("node", "stays")
-    gone = rows.join(named, "node").filter(F.col("id") != F.col("stays")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = rows.join(named, "node").filter((F.col("id") != F.col("stays.id")) | (F.col("th") != F.col("stays.th")))
+    gone = gone.filter(F.col("id").isNotNull()).select(F.col("id").alias("_gone"), F.col("th").alias("_text")).distinct()
+    same_text = text_hash(docs[text_col].cast("string")) == gone["_text"]
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & same_text, "left_anti")
 
 
 def near_groups(

@@ -473,3 +473,13 @@ def test_near_copies_go_and_others_stay(spark):
         key += 2
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r[0] for r in kept} == set(range(0, 80, 2))
+
+
+def test_near_copies_are_rows_not_ids(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    other = " ".join(f"v{i}" for i in range(300))
+    rows = [(1, long), (2, long + " end"), (2, other), (3, other + " end"), (None, long), (4, None), (5, "")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted(
+        [(False, 1, long), (False, 2, other), (True, 0, long), (False, 4, "")]
+    )
