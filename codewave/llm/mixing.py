@@ -98,7 +98,8 @@ def mix(
     """(row, source, n_tokens, pass, block_order): every row of ``docs`` as often as it is drawn.
 
     ``row`` holds all columns of the document. ``budget`` is in tokens, by default as many
-    as there are. The order of a pass is block_order, then the digest of the id.
+    as there are. The order of a pass is block_order, then the digests of the id and of the
+    text, so texts under one id are drawn in the same order every time.
     """
     digest = F.md5(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
     rows = docs.select(
@@ -106,6 +107,7 @@ def mix(
         _source_key(F.col(source_col)).alias("src"),
         count_tokens(F.col(text_col)).alias("tokens"),
         digest.alias("d"),
+        F.md5(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")).alias("e"),
     )
     number = F.conv(F.substring("d", 1, 8), 16, 10).cast("bigint")
     rows = rows.withColumn("block", F.pmod(number, F.lit(BLOCKS)).cast("int")).withColumn(
@@ -142,7 +144,7 @@ def mix(
     starts = starts.drop("tokens").join(orders, ["src", "block"])
 
     key = ["src", "block", "sub"]
-    up_to = Window.partitionBy(*key).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    up_to = Window.partitionBy(*key).orderBy("d", "e").rowsBetween(Window.unboundedPreceding, 0)
     drawn = rows.join(starts, key).withColumn("sum", F.sum("tokens").over(up_to))
     partial = F.col("start") + F.col("ahead") + F.col("sum") <= F.col("rest")
     times = F.col("full") + partial.cast("int")

@@ -16,7 +16,7 @@ OP3 = r"""
 WITH RECURSIVE docs AS (
     SELECT doc_id, source, coalesce('s' || source, 'n') AS src,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens,
-           md5(coalesce(doc_id::VARCHAR, '')) AS d,
+           md5(coalesce(doc_id::VARCHAR, '')) AS d, md5(coalesce(text, '')) AS e,
            (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 256)::INT AS block
     FROM documents),
 sources AS (SELECT src, sum(tokens)::BIGINT AS tokens FROM docs GROUP BY src),
@@ -63,7 +63,7 @@ passes AS (
     FROM blocks JOIN plan USING (src), LATERAL (SELECT unnest(range(0, whole + 1)) AS pass)
     WINDOW w AS (PARTITION BY src, pass ORDER BY md5(src || ':' || pass || ':' || block))),
 placed AS (
-    SELECT docs.*, sum(tokens) OVER (PARTITION BY src, block ORDER BY d ROWS UNBOUNDED PRECEDING) AS up_to FROM docs)
+    SELECT docs.*, sum(tokens) OVER (PARTITION BY src, block ORDER BY d, e ROWS UNBOUNDED PRECEDING) AS up_to FROM docs)
 SELECT doc_id, source, tokens AS n_tokens, pass::INT AS pass_no, block_order::INT AS block_order
 FROM placed JOIN plan USING (src) JOIN passes USING (src, block)
 WHERE pass < whole OR start + up_to <= rest
