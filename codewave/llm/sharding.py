@@ -138,13 +138,31 @@ def hilbert_shards(
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", **names) -> None:
-    """Write ``docs`` as one folder per shard, in the order of the slots.
-
-    Ids must be unique here: they bring rows and slots together.
+def write_shards(
+    docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", **names
+) -> str:
+    """Write ``docs`` as one folder per shard, in the order of the slots; the name of the folder's
+    column is returned: ``shard``, with underscores before it if ``docs`` has such a column.
+
+    Rows and slots come together by id, checksum and size of the text. Rows that agree in these
+    are numbered, so repeated ids keep as many rows as they have.
     """
-    place = hilbert_shards(docs, shards, id_col, **names)
-    place = place.select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    placed = docs.join(place, docs[id_col].eqNullSafe(place["_id"])).drop("_id")
-    ranged = placed.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    ranged.write.partitionBy("_shard").parquet(path)
+    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
+    folder = "shard"
+    while folder in docs.columns:
+        folder = f"_{folder}"
+    same = Window.partitionBy("id", "crc", "size")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("id"),
+        F.crc32(text).alias("crc"),
+        (F.length(text) + 1).cast("bigint").alias("size"),
+    ).withColumn("nth", F.row_number().over(same.orderBy(F.lit(0))))
+    place = hilbert_shards(docs, shards, id_col, text_col, **names)
+    place = place.select(F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"), "size", "shard", "slot")
+    place = place.withColumn("nth", F.row_number().over(same.orderBy("slot")))
+    keys = [rows[c].eqNullSafe(place[c]) if c == "id" else rows[c] == place[c] for c in ("id", "crc", "size", "nth")]
+    placed = rows.join(place, keys).select("row", F.col("shard").alias(folder), "slot")
+    ranged = placed.repartitionByRange(folder, "slot").sortWithinPartitions(folder, "slot")
+    ranged.select("row.*", folder).write.partitionBy(folder).parquet(path)
+    return folder
