@@ -11,7 +11,8 @@ stays.
    are counted in Spark; runs of windows with one recurring anchor (intervals) are cut out of
    the texts and equal ones put together, with their number and first place.
 3. Confirmation. Different intervals of an anchor meet in one shard. A window that they have
-   more than once is a recurring phrase, and its first place is known.
+   more than once is a recurring phrase, and its first place is known; an interval that occurs
+   again and has no other of its anchor beside it is one phrase as a whole.
 4. Automata. Each shard compiles its phrases, as sequences of word numbers, into automata of
    up to BATCH intervals, and streams its intervals through them. As every interval of an
    anchor is routed to its shard, all documents pass by the phrases they may have and no others.
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -47,6 +47,7 @@ WINDOWS = LENGTH - PIECE + 1  # pieces in a window
 PART = 1 << 22  # bytes, then words, that are hashed at a time
 KINDS = 1024  # different intervals of one anchor in a shard
 BATCH = 4096  # intervals of one automaton
+CUT_ROWS = 10_000  # intervals that are cut out together
 SHARD_INTERVALS = 50_000
 
 _NO_ID = -(1 << 63)
@@ -163,23 +164,35 @@ _INTERVAL = pa.schema(
 def _cut(rows: DataFrame) -> DataFrame:
     """Intervals of (k, th, t, wanted) with a wanted anchor; a text has each phrase once."""
 
+    def parts(k: int, th: int, data: bytes, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        every = intervals(word_hashes(np.frombuffer(data, np.uint8)))
+        every = every[np.isin(every[:, 0], wanted)]
+        words, seen = data.split(), set()
+        for at in range(0, len(every), CUT_ROWS):
+            part = every[at : at + CUT_ROWS]
+            contents, phrases = [], []
+            for first, end in zip(part[:, 1].tolist(), (part[:, 1] + part[:, 2] + LENGTH - 1).tolist()):
+                phrase = b" ".join(words[first:end])
+                content = hashlib.md5(phrase).digest()
+                contents.append(content)
+                phrases.append(None if content in seen else phrase)
+                seen.add(content)
+            n = len(part)
+            columns = [np.full(n, k), np.full(n, th), part[:, 1], part[:, 0], contents, phrases]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INTERVAL.types)], schema=_INTERVAL)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            held: list[pa.RecordBatch] = []
             for k, th, text, wanted in zip(*[batch.column(c) for c in ("k", "th", "t", "wanted")]):
-                data = text.as_py().encode("utf-8")
-                every = intervals(word_hashes(np.frombuffer(data, np.uint8)))
-                every = every[np.isin(every[:, 0], wanted.values.to_numpy(zero_copy_only=False))]
-                words, seen, k, th = data.split(), set(), k.as_py(), th.as_py()
-                for anchor, first, windows in every.tolist():
-                    phrase = b" ".join(words[first : first + windows + LENGTH - 1])
-                    content = hashlib.md5(phrase).digest()
-                    out.append((k, th, first, anchor, content, None if content in seen else phrase))
-                    seen.add(content)
-                    if len(out) > 20_000:
-                        yield _batch(out, _INTERVAL)
-                        out = []
-            yield _batch(out, _INTERVAL)
+                anchors = wanted.values.to_numpy(zero_copy_only=False)
+                for part in parts(k.as_py(), th.as_py(), text.as_py().encode("utf-8"), anchors):
+                    held.append(part)
+                    if sum(map(len, held)) >= CUT_ROWS:
+                        yield pa.concat_batches(held)
+                        held = []
+            if held:
+                yield pa.concat_batches(held)
 
     return rows.select("k", "th", "t", "wanted").mapInArrow(
         run, "k bigint, th bigint, first bigint, anchor bigint, content binary, phrase binary"
@@ -195,10 +208,13 @@ _FOUND = pa.schema(
 
 
 def recurring_phrases(texts: list[tuple], counts: list[int], places: list[tuple]) -> dict[tuple, tuple]:
-    """Windows that occur more than once in these texts, each with its first place.
+    """Phrases that recur in the different texts of one anchor, each with its first place.
 
-    A text is a sequence of word numbers, which occurs ``count`` times, first at ``place``.
+    A text is a sequence of word numbers, which occurs ``count`` times, first at ``place``. A text
+    without another beside it recurs as a whole; of several the windows are compared.
     """
+    if len(texts) == 1:
+        return {texts[0]: places[0]} if counts[0] > 1 else {}
     seen: dict[tuple, list] = {}
     for text, n, (k, th, first) in zip(texts, counts, places):
         for at in range(len(text) - LENGTH + 1):
@@ -212,45 +228,53 @@ def recurring_phrases(texts: list[tuple], counts: list[int], places: list[tuple]
     return {window: place for window, (n, place) in seen.items() if n > 1}
 
 
-def locate(texts: list[tuple], phrases: dict[tuple, tuple]) -> Iterator[list[tuple[int, tuple]]]:
-    """For each text where a phrase starts in it, and the phrase's first place."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase, place in phrases.items():
-        automaton.add_word(phrase, place)
+def locate(texts: list[tuple], phrases: dict[tuple, tuple]) -> Iterator[list[tuple[int, int, tuple]]]:
+    """For each text (at, windows, place): where phrases start in it, and their first places."""
     if not phrases:
         yield from ([] for _ in texts)
         return
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for phrase, place in phrases.items():
+        automaton.add_word(phrase, (len(phrase), place))
     automaton.make_automaton()
     for text in texts:
-        yield [(end - LENGTH + 1, place) for end, place in automaton.iter(text)]
+        yield [(end - n + 1, n - LENGTH + 1, place) for end, (n, place) in automaton.iter(text)]
 
 
-def _runs(found: list[tuple[int, tuple]]) -> Iterator[tuple]:
-    """(at, windows, k, th, first): neighbours whose first places are neighbours too."""
-    start = 0
-    for i, ((at, (k, th, first)), (next_at, next_place)) in enumerate(pairwise([*found, (-1, None)])):
-        if next_at != at + 1 or next_place != (k, th, first + 1):
-            begin, (k, th, first) = found[start]
-            yield begin, i - start + 1, k, th, first
-            start = i + 1
+def _runs(found: list[tuple[int, int, tuple]]) -> list[list]:
+    """[at, windows, k, th, first]: neighbours whose first places are neighbours are put together."""
+    runs: list[list] = []
+    for at, windows, (k, th, first) in found:
+        if runs:
+            begin, n, *place = runs[-1]
+            if at == begin + n and [k, th, first] == [*place[:2], place[2] + n]:
+                runs[-1][1] += windows
+                continue
+        runs.append([at, windows, k, th, first])
+    return runs
 
 
 def _search_shards(contents: DataFrame, shards: int) -> DataFrame:
     """Runs of recurring windows in each different interval."""
 
-    def solve(held: list[dict]) -> pa.RecordBatch:
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        anchors, contents, counts, *place, phrases = zip(*held)
+        places = list(zip(*place))
         number: dict[bytes, int] = {}
-        texts = [tuple(number.setdefault(w, len(number)) for w in r["phrase"].split(b" ")) for r in held]
-        places = [(r["k"], r["th"], r["first"]) for r in held]
-        phrases = recurring_phrases(texts, [r["n"] for r in held], places)
-        found = locate(texts, phrases)
-        return _batch([(r["content"], *run) for r, hits in zip(held, found) for run in _runs(hits)], _FOUND)
+        texts = [tuple([number.setdefault(w, len(number)) for w in p.split(b" ")]) for p in phrases]
+        known: dict[tuple, tuple] = {}
+        start = 0
+        for end in range(1, len(held) + 1):
+            if end == len(held) or anchors[end] != anchors[start]:
+                known |= recurring_phrases(texts[start:end], counts[start:end], places[start:end])
+                start = end
+        return _batch([(c, *run) for c, hits in zip(contents, locate(texts, known)) for run in _runs(hits)], _FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if len(held) >= BATCH and row["anchor"] != held[-1]["anchor"]:
+            for row in zip(*[batch.column(c).to_pylist() for c in columns]):
+                if len(held) >= BATCH and row[0] != held[-1][0]:
                     yield solve(held)
                     held = []
                 held.append(row)

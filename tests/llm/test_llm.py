@@ -483,3 +483,50 @@ def test_near_copies_are_rows_not_ids(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted(
         [(False, 1, long), (False, 2, other), (True, 0, long), (False, 4, "")]
     )
+
+
+def test_mixing_texts_under_one_id_alike_in_any_partitioning(spark):
+    rows = [(i % 40, f"{'word ' * (i % 17 + 1)}{i}", f"s{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    drawn = [
+        sorted(map(repr, mixing.mix(df.repartition(n, "text"), budget=20_000).select("row.text", "pass", "block_order").collect()))
+        for n in (2, 7)
+    ]
+    assert drawn[0] == drawn[1] and drawn[0]
+
+
+def test_written_shards_hold_every_row_in_the_order_of_the_slots(spark, tmp_path):
+    rows = [(i % 30 if i % 9 else None, f"text {i % 50} " * (i % 5 + 1), "en", f"s{i % 3}", i % 2, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, shard int, _id string")
+    folder = sharding.write_shards(df, str(tmp_path / "out"), 4)
+    assert folder == "_shard"
+    read = spark.read.parquet(str(tmp_path / "out"))
+    plain = lambda d: sorted(map(repr, d.select(df.columns).collect()))
+    assert plain(read) == plain(df)
+    place = {}
+    for r in sharding.hilbert_shards(df, 4).collect():
+        place.setdefault((r["shard"], r["doc_id"], r["text_crc32"]), []).append(r["slot"])
+    for shard in range(4):
+        files = sorted((tmp_path / "out" / f"_shard={shard}").glob("*.parquet"))
+        ids = [(r["doc_id"], zlib.crc32(r["text"].encode())) for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert len(ids) == 50
+        slots = [place[shard, *key].pop(0) for key in ids]
+        assert slots == list(range(50))
+
+
+def test_hilbert_slots_follow_the_documented_order(spark):
+    """Curve, high bits of the checksum, part of the id, checksum, id: a plain sort."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.union(docs.limit(20)).union(docs.withColumn("doc_id", F.lit(None).cast("bigint")).limit(5))
+    placed = sharding.hilbert_shards(docs, 4)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(sharding.SPREAD)).alias("part")
+    rows = placed.select("*", part).collect()
+    key = lambda r: (
+        r["curve_index"], r["text_crc32"] >> (32 - sharding.BITS_HIGH), r["part"],
+        r["text_crc32"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"],
+    )
+    by_place = [key(r) for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert by_place == sorted(map(key, rows)) and len(rows) == docs.count()
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in sizes.items())

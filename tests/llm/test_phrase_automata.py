@@ -101,7 +101,15 @@ def test_long_text_of_one_letter(spark):
 
 
 def test_phrases_of_a_shard():
-    text = tuple(range(30))
-    phrases = P.recurring_phrases([text, text[:25] + (99,)], [1, 1], [(1, 0, 0), (2, 0, 7)])
+    text, other = tuple(range(30)), (*range(25), 99)
+    phrases = P.recurring_phrases([text, other], [1, 1], [(1, 0, 0), (2, 0, 7)])
     assert phrases == {text[s : s + 20]: (1, 0, s) for s in range(6)}
-    assert list(P.locate([text], phrases)) == [[(s, (1, 0, s)) for s in range(6)]]
+    found = list(P.locate([text, other], phrases))
+    assert found == [[(s, 1, (1, 0, s)) for s in range(6)]] * 2
+    assert P._runs(found[0]) == [[0, 6, 1, 0, 0]]
+    assert P._runs([(0, 1, (1, 0, 4)), (1, 1, (1, 0, 9)), (3, 1, (1, 0, 11))]) == [
+        [0, 1, 1, 0, 4], [1, 1, 1, 0, 9], [3, 1, 1, 0, 11]
+    ]
+    alone = P.recurring_phrases([text], [2], [(1, 0, 5)])
+    assert alone == {text: (1, 0, 5)} and P.recurring_phrases([text], [1], [(1, 0, 5)]) == {}
+    assert list(P.locate([text], alone)) == [[(0, 11, (1, 0, 5))]]
