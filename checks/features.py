@@ -151,9 +151,10 @@ def _(spark, sf):
     vectors = _vectors(spark, sf, vocab)
     table = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("bucket"), "embedding")
     buckets = table.agg(F.max("bucket")).first()[0] + 1
-    matrix = features.embedding_lookup(vocab, vectors, DIM, table, buckets)
-    without = matrix.join(vectors.select("word"), "word", "left_anti")
-    return without.select("idx", "word", _whole(F.col("embedding")).alias("embedding"), "covered")
+    # Only what is left of the vocabulary is looked up, so that no vector is exchanged to leave words out.
+    without = vocab.join(vectors.select("word"), "word", "left_anti")
+    matrix = features.embedding_lookup(without, vectors, DIM, table, buckets)
+    return matrix.select("idx", "word", _whole(F.col("embedding")).alias("embedding"), "covered")
 
 
 @query(

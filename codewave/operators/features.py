@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,8 @@ from codewave.session import stage_table
 UNKNOWN_INDEX, FIRST_INDEX = 1, 2
 
 POOLED_ROWS = 256  # answers of a block that are pooled at a time
+SUBWORD_ROWS = 1024  # words that are taken apart at a time
+SUBWORD_NUMBERS = 1 << 27  # numbers of bucket vectors that a task holds
 
 
 def fit_vocabulary(train: DataFrame, col: str, ident: str, tokens: Column | None = None) -> DataFrame:
@@ -135,19 +140,118 @@ def gram_bucket(gram: Column, buckets: int) -> Column:
     return mixed % buckets
 
 
+def _gram_buckets(words: list[str], buckets: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, bucket) of all runs of letters of some words, by place.
+
+    The same numbers as ``subword_grams`` and ``gram_bucket`` give, for many words at a time.
+    """
+    text = np.frombuffer("".join(f"<{w}>" for w in words).encode(), np.uint8)
+    signed = text.astype(np.int8).astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)
+    letter = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))  # where letters begin
+    letters = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    end = np.cumsum(letters)
+    place, bucket = [], []
+    for n in range(low, high + 1):
+        runs = np.maximum(letters - n + 1, 0)
+        of = np.repeat(np.arange(len(words)), runs)
+        first = np.arange(len(of)) - (np.cumsum(runs) - runs)[of] + (end - letters)[of]
+        at, size = letter[first], letter[first + n] - letter[first]
+        mixed = np.full(len(of), 2166136261, np.uint64)
+        for i in range(int(size.max(initial=0))):
+            more = np.flatnonzero(size > i)
+            mixed[more] = ((mixed[more] ^ signed[at[more] + i]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        place.append(of)
+        bucket.append((mixed % np.uint64(buckets)).astype(np.int64))
+    place, bucket = np.concatenate(place), np.concatenate(bucket)
+    order = np.argsort(place, kind="stable")
+    return place[order], bucket[order]
+
+
+def _run_sums(buckets: int, low: int, high: int):
+    """(idx, word, n, total) of rows in the order of (cell, word): first a cell's vectors."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, found, parts = None, np.zeros(0, np.int64), []
+        matrix = np.zeros((0, 0))
+
+        def of_words(idx: pa.Array, words: pa.Array) -> pa.RecordBatch:
+            place, bucket = _gram_buckets(words.to_pylist(), buckets, low, high)
+            at = np.minimum(np.searchsorted(found, bucket), max(len(found) - 1, 0))
+            hit = found[at] == bucket if len(found) else np.zeros(len(bucket), bool)
+            place, at = place[hit], at[hit]
+            have, first, n = np.unique(place, return_index=True, return_counts=True)
+            width = matrix.shape[1]
+            total = np.add.reduceat(matrix[at].astype(float), first) if len(have) else np.zeros((0, width))
+            sizes = np.zeros(len(words), np.int32)
+            sizes[have] = width
+            counts = np.zeros(len(words), np.int64)
+            counts[have] = n
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            totals = pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
+            return pa.RecordBatch.from_arrays([idx, words, pa.array(counts), totals], ["idx", "word", "n", "total"])
+
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for start, stop in zip(cuts, cuts[1:]):
+                if stop == start:
+                    continue
+                if cells[start] != cell:
+                    cell, parts = cells[start], []
+                    found, matrix = np.zeros(0, np.int64), np.zeros((0, 0))
+                rows = batch.slice(start, stop - start)
+                known = rows.filter(pc.is_null(rows.column("word")))
+                if known.num_rows:
+                    vectors = known.column("v").flatten().to_numpy().reshape(known.num_rows, -1)
+                    parts.append((known.column("bucket").to_numpy(), vectors))
+                rows = rows.filter(pc.is_valid(rows.column("word")))
+                if rows.num_rows and parts:
+                    numbers, vectors = (np.concatenate(p) for p in zip(*parts))
+                    order = np.argsort(numbers, kind="stable")
+                    found, matrix, parts = numbers[order], vectors[order], []
+                for k in range(0, rows.num_rows, SUBWORD_ROWS):
+                    part = rows.slice(k, SUBWORD_ROWS)
+                    yield of_words(part.column("idx"), part.column("word"))
+
+    return sums
+
+
 def subword_vectors(
-    words: DataFrame, subwords: DataFrame, buckets: int, low: int = 3, high: int = 6
+    words: DataFrame, subwords: DataFrame, buckets: int, dim: int, low: int = 3, high: int = 6
 ) -> DataFrame:
-    """``(word, embedding)``: the mean of the vectors of a word's runs of letters.
+    """``(idx, word, embedding)``: the mean of the vectors of a word's runs of letters.
+
+    ``words`` has (idx, word), each word once, ``subwords`` (bucket, embedding), each bucket once.
+    The embedding is null for a word none of whose runs has a vector.
 
-    ``subwords`` has (bucket, embedding). Words none of whose runs has a vector are left out.
-    Only different words are taken apart, and each bucket is joined to by number.
+    Words are dealt into blocks and the buckets into ranges of ``SUBWORD_NUMBERS`` numbers (most
+    tables are one range). A task holds the vectors of a range and takes words as they come, so
+    words and each block's share of the table are exchanged, not a vector for every run.
     """
-    grams = words.select("word").distinct().select("word", F.explode(subword_grams(F.col("word"), low, high)).alias("gram"))
-    placed = grams.select("word", gram_bucket(F.col("gram"), buckets).alias("bucket"))
-    known = subwords.select(F.col("bucket").cast("bigint").alias("bucket"), F.col("embedding").cast("array<double>").alias("v"))
-    mean = Summarizer.mean(array_to_vector("v"))
-    return placed.join(known, "bucket").groupBy("word").agg(vector_to_array(mean).alias("embedding"))
+    ranges = max(1, -(-buckets * dim // SUBWORD_NUMBERS))
+    blocks = 2 * words.sparkSession.sparkContext.defaultParallelism
+    no_word, no_vector = F.lit(None).cast("string"), F.lit(None)
+    block = F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")
+    at_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    at_range = F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))
+    own_range = (F.col("bucket") * ranges / F.lit(buckets)).cast("int")
+    known = subwords.filter(F.col("bucket").between(0, buckets - 1) & F.col("embedding").isNotNull())
+    kind = known.schema["embedding"].dataType
+    known = known.select(own_range.alias("r"), F.col("bucket").cast("bigint").alias("bucket"), F.col("embedding").alias("v"))
+    known = known.select("r", at_block.alias("b"), F.lit(None).cast("bigint").alias("idx"), no_word.alias("word"), "bucket", "v")
+    spread = words.select(at_range.alias("r"), block.alias("b"), F.col("idx").cast("bigint").alias("idx"), "word")
+    spread = spread.withColumns({"bucket": F.lit(None).cast("bigint"), "v": no_vector.cast(kind)})
+    cells = known.unionByName(spread).withColumn("cell", F.col("r") * blocks + F.col("b")).drop("r", "b")
+    # Rows of a cell without a word, its vectors, come first.
+    cells = cells.repartition(blocks * ranges, "cell").sortWithinPartitions("cell", F.col("word").isNotNull())
+    sums = cells.mapInArrow(_run_sums(buckets, low, high), "idx bigint, word string, n bigint, total array<double>")
+    if ranges > 1:
+        total = array_to_vector(F.when(F.col("n") > 0, F.col("total")).otherwise(F.array_repeat(F.lit(0.0), dim)))
+        summed = sums.withColumn("total", total).groupBy("idx", "word").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("total")).alias("total"))
+        sums = summed.withColumn("total", vector_to_array("total"))
+    each = F.zip_with("total", F.array_repeat(F.col("n"), dim), lambda t, n: t / n)
+    idx = F.col("idx").cast(words.schema["idx"].dataType).alias("idx")
+    return sums.select(idx, "word", F.when(F.col("n") > 0, each).alias("embedding"))
 
 
 def embedding_lookup(
@@ -166,11 +270,11 @@ def embedding_lookup(
     """
     zeros = F.array_repeat(F.lit(0.0), dim)
     own = vectors.select("word", F.col("embedding").cast("array<double>").alias("embedding"))
-    joined = vocab.select("idx", "word").join(own, "word", "left")
+    joined = vocab.select("idx", "word").join(own, "word", "left").select("idx", "word", "embedding")
     if subwords is not None:
-        without = stage_table(joined.filter(F.col("embedding").isNull()).select("word"), "without_vector")
-        built = subword_vectors(without, subwords, buckets, low, high).withColumnRenamed("embedding", "_built")
-        joined = joined.join(built, "word", "left").withColumn("embedding", F.coalesce("embedding", "_built"))
+        without = joined.filter(F.col("embedding").isNull()).select("idx", "word")
+        built = subword_vectors(without, subwords, buckets, dim, low, high)
+        joined = joined.filter(F.col("embedding").isNotNull()).union(built)
     return joined.select(
         "idx", "word", F.coalesce("embedding", zeros).alias("embedding"), F.col("embedding").isNotNull().alias("covered")
     )

@@ -67,3 +67,25 @@ def test_pooling_exchanges_words_not_dimensions(spark):
     plan = features.pool_embeddings(df, table, "id", 4)._jdf.queryExecution().executedPlan().toString()
     # Tokens are placed by block once; the other exchanges carry different words of a block.
     assert plan.count("REPARTITION_BY_NUM") == 2 and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("numbers", [1 << 27, 30])
+def test_subword_vectors_exchange_words_not_runs(spark, monkeypatch, numbers):
+    monkeypatch.setattr(features, "SUBWORD_NUMBERS", numbers)  # 30: the buckets are dealt into ranges
+    monkeypatch.setattr(features, "SUBWORD_ROWS", 2)
+    words = [*WORDS, "", "é", "canción", "𝒜b"]
+    vocab = spark.createDataFrame([(i + 2, w) for i, w in enumerate(words)], "idx int, word string")
+    own = spark.createDataFrame([("pan", [9.0, 9.0])], "word string, embedding array<double>")
+    rng = np.random.default_rng(6)
+    table = {b: [float(x) for x in rng.normal(size=2)] for b in range(0, 50, 3)}
+    buckets = spark.createDataFrame(list(table.items()), "bucket long, embedding array<double>")
+    matrix = features.embedding_lookup(vocab, own, 2, buckets, 50)
+    got = {r["word"]: r for r in matrix.collect()}
+    assert len(got) == len(words)
+    for i, w in enumerate(words):
+        hits = [table[fnv(g) % 50] for g in grams(w, 3, 6) if fnv(g) % 50 in table]
+        wanted = [9.0, 9.0] if w == "pan" else (np.mean(hits, axis=0) if hits else [0.0, 0.0])
+        assert got[w]["embedding"] == pytest.approx(list(wanted)) and got[w]["idx"] == i + 2
+        assert got[w]["covered"] == (w == "pan" or bool(hits))
+    plan = matrix._jdf.queryExecution().optimizedPlan().toString()
+    assert "gram" not in plan and "MapInArrow" in plan
