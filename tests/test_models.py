@@ -84,6 +84,22 @@ def test_compare_strategies_on_one_split(answers, monkeypatch):
     assert len(splits) == 1 and len({r["n"] for r in table}) == 1
 
 
+def test_strategies_share_their_features(answers, monkeypatch):
+    made = []
+    to_sparse = train.to_sparse
+    monkeypatch.setattr(train, "to_sparse", lambda *a, **k: made.append(1) or to_sparse(*a, **k))
+    two_digits = F.concat((F.col("id") % 2).cast("string"), "aeciuo_2")
+    prepared = score.prepare_wave(answers).withColumn("aeciuo_2", two_digits)
+    shared = {"tfidf": train.text_strategies("oficio_tarea", "id", passes=1)["tfidf"]}
+    alone = {"tfidf": lambda fit, label: train.train_single_field(fit, "oficio_tarea", label, "id", passes=1)}
+    tables = []
+    for strategies in (shared, alone):
+        tables.append(train.compare_strategies(prepared, "aeciuo_2", "id", strategies).collect())
+        made.append("end")
+    assert made == [1, "end", 1, 1, "end"]
+    assert tables[0] == tables[1]
+
+
 def test_saved_model_scores_alike(answers, model, tmp_path):
     path = str(tmp_path / "saved")
     model.save(path)
