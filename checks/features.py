@@ -170,9 +170,8 @@ def _(spark, sf):
 def _(spark, sf):
     df, fit = _split(spark, sf)
     vocab = features.fit_vocabulary(fit, TEXT, "id")
-    seqs = stage_table(features.encode_sequences(df, TEXT, "id", vocab), "sequences")
-    tokens = seqs.select("id", F.posexplode("seq").alias("pos", "idx"))
-    pooled = features.pool_embeddings(tokens, _vectors(spark, sf, vocab), "id", DIM)
+    tokens = stage_table(features.encode_counts(df, TEXT, "id", vocab), "counts")
+    pooled = features.pool_embeddings(tokens, _vectors(spark, sf, vocab), "id", DIM, times="tf")
     parts = F.arrays_zip(
         F.slice("pooled", 1, DIM).alias("maximo"), F.slice("pooled", DIM + 1, DIM).alias("media")
     )

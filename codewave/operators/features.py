@@ -172,6 +172,14 @@ def document_term_counts(df: DataFrame, col: str, ident: str) -> DataFrame:
     return words.groupBy(ident, "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def encode_counts(df: DataFrame, col: str, ident: str, vocab: DataFrame) -> DataFrame:
+    """``(ident, idx, tf)``: how often an answer has each index, unknown words as 1."""
+    known = vocab.select("word", "idx", F.lit(0.0).alias("value"))
+    counted = count_words(df, ident, [col], vocabulary_tokens(F.col(col)), known, F.lit(UNKNOWN_INDEX), F.lit(0.0))
+    each = counted.select(ident, F.explode(F.arrays_zip("idx", "tf")).alias("t"))
+    return each.select(ident, F.col("t.idx").cast(vocab.schema["idx"].dataType).alias("idx"), "t.tf")
+
+
 def tfidf(
     train: DataFrame, df: DataFrame, col: str, ident: str, vocab: DataFrame
 ) -> DataFrame:
@@ -360,19 +368,21 @@ def embedding_lookup(
 
 
 def pool_embeddings(
-    tokens: DataFrame, vectors: DataFrame, ident: str, dim: int, blocks: int | None = None
+    tokens: DataFrame, vectors: DataFrame, ident: str, dim: int, blocks: int | None = None, times: str | None = None
 ) -> DataFrame:
     """``(ident, pooled)``: element-wise maximum, then mean, of an answer's word vectors.
 
-    ``tokens`` has one row per token with an index; an unknown word counts as zeros. Answers are
+    ``tokens`` has one row per token with an index, or one per different token and how often it
+    occurs (the column ``times``); an unknown word counts as zeros. Answers are
     dealt into blocks. A block fetches the vector of each of its different words once and pools
     locally, so what is exchanged are word counts and the different words of a block, not
     dimensions per token. ``blocks`` is the session's number of partitions by default.
     """
     blocks = blocks or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int").alias("block")
-    placed = tokens.select(block, ident, "idx").repartition(blocks, "block")
-    counts = placed.groupBy("block", ident, "idx").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    each = F.lit(1).alias("n") if times is None else F.col(times).alias("n")
+    placed = tokens.select(block, ident, "idx", each).repartition(blocks, "block")
+    counts = placed.groupBy("block", ident, "idx").agg(F.sum("n").cast("double").alias("w"))
     words = counts.select(F.col("block").alias("at"), F.col("idx").alias("word")).distinct()
     known = vectors.select(F.col("idx").alias("word"), F.col("embedding").cast("array<double>").alias("v"))
     fetched = words.join(known, "word").select("at", "word", "v")

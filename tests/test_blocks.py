@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +64,14 @@ def test_fields_keep_their_own_words_and_unknowns(spark, answers):
         words = [(0, w) for w in tokens(r["t"])] + [(1, w) for w in [*last, *map(" ".join, zip(last, last[1:]))]]
         assert got[r["id"]] == Counter(index.get(w, space.unknown[w[0]]) for w in words)
     assert all(list(d) == sorted(d) for d in got.values())
+
+
+def test_pooling_takes_counted_words(answers):
+    vocab = features.fit_vocabulary(answers.filter("id % 2 = 0"), "t", "id")
+    vectors = vocab.select("idx", F.array(F.col("idx") / 7, 1.0 - F.col("idx")).alias("embedding"))
+    counts = features.encode_counts(answers, "t", "id", vocab)
+    got = {r["id"]: r["pooled"] for r in features.pool_embeddings(counts, vectors, "id", 2, times="tf").collect()}
+    tokens_of = features.encode_tokens(answers, "t", "id", vocab)
+    wanted = {r["id"]: r["pooled"] for r in features.pool_embeddings(tokens_of, vectors, "id", 2).collect()}
+    assert got.keys() == wanted.keys() and len(got) == 60
+    assert all(got[i] == pytest.approx(wanted[i]) for i in got)
