@@ -71,6 +71,25 @@ def test_best_model_is_saved_and_read_back(answers, tmp_path):
     assert accuracy(train.predict(best, prepared, "aeciuo_2")) > 0.9
 
 
+def test_the_query_trains_as_long_as_the_reference(spark, monkeypatch):
+    """At most 100 passes, and 15 without a lower loss before training stops."""
+    import inspect
+
+    import __spark_entry__ as entry
+
+    told = []
+    real = inspect.signature(train.select_best_model)
+
+    def select(*args, **options):
+        told.append(real.bind(*args, **options))
+        return None, [1.0]
+
+    monkeypatch.setattr(train, "select_best_model", select)
+    assert entry.queries()["select_best_model"](spark, "/root/testdata/sf0.001").count() == 1
+    told[0].apply_defaults()
+    assert (told[0].arguments["passes"], told[0].arguments["patience"]) == (100, 15)
+
+
 def test_compare_strategies_on_one_split(answers, monkeypatch):
     splits = []
     split = train.stratified_split
