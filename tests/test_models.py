@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +139,45 @@ def test_unseen_words_and_empty_texts_are_scored(spark, model):
     assert all(sum(r["probability"]) == pytest.approx(1) for r in got)
 
 
+def test_answers_are_scored_in_blocks_like_a_plain_sum(spark, model, monkeypatch):
+    monkeypatch.setattr(train, "SCORED_ROWS", 2)
+    texts = [("pan zzz horno pan", "masa"), ("ruta", "yyy xxx"), ("zzz zzz", None), ("", ""), ("clase", "clase horno")] * 5
+    new = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, oficio_proc string, tareas_proc string")
+    plan = model._linear_scores(new, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and "Generate" not in plan
+    words = {(r["field"], r["word"]): (r["idf"], np.array(r["w"])) for r in model.space.words.collect()}
+    got = {r["id"]: r["z"] for r in model._linear_scores(new, "id").collect()}
+    assert len(got) == 20
+    for i, fields in enumerate(texts):
+        z, squares, counts = np.zeros(3), 0.0, Counter((f, w) for f, t in enumerate(fields) for w in (t or "").split())
+        unseen = Counter()
+        for (f, w), n in counts.items():
+            if (f, w) not in words:
+                unseen[f] += n
+                continue
+            x = (1 + np.log(n)) * words[f, w][0]
+            z, squares = z + x * words[f, w][1], squares + x * x
+        for f, n in unseen.items():
+            x = (1 + np.log(n)) * model.space.unknown_idf
+            z, squares = z + x * np.array(model.unknown[f]), squares + x * x
+        if counts:
+            assert got[i] == pytest.approx(list(z / np.sqrt(squares) + np.array(model.constant)))
+
+
+def test_bags_are_scored_in_blocks_like_a_plain_sum(spark, answers, monkeypatch):
+    monkeypatch.setattr(train, "SCORED_ROWS", 2)
+    bag = train.train_pooled_embedding(score.prepare_wave(answers), "oficio_tarea", "aeciuo_2", "id", dim=4)
+    texts = ["pan zzz horno pan", "zzz", "", "ruta clase"] * 4
+    new = spark.createDataFrame(list(enumerate(texts)), "id long, oficio_tarea string")
+    vectors = {r["word"]: np.array(r["w"]) for r in bag.space.words.collect()}
+    got = {r["id"]: r["z"] for r in bag._bag_scores(new, "id").collect()}
+    assert sorted(got) == [i for i, t in enumerate(texts) if set(t.split()) & set(vectors)]
+    for i in got:
+        each = np.array([vectors[w] for w in texts[i].split() if w in vectors])
+        wanted = np.concatenate([each.max(axis=0), each.mean(axis=0), [1]]) @ np.array(bag.layer)
+        assert got[i] == pytest.approx(list(wanted))
+
+
 def test_stream_scores_each_file_once(spark, answers, model, tmp_path):
     folder, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     new = answers.drop("aeciuo_2")
