@@ -385,7 +385,7 @@ def pool_embeddings(
     placed = tokens.select(block, ident, "idx", each).repartition(blocks, "block")
     counts = placed.groupBy("block", ident, "idx").agg(F.sum("n").cast("double").alias("w"))
     words = counts.select(F.col("block").alias("at"), F.col("idx").alias("word")).distinct()
-    known = vectors.select(F.col("idx").alias("word"), F.col("embedding").cast("array<double>").alias("v"))
+    known = vectors.select(F.col("idx").alias("word"), F.col("embedding").alias("v"))
     fetched = words.join(known, "word").select("at", "word", "v")
     id_type = tokens.schema[ident].dataType.simpleString()
 

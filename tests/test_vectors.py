@@ -1,10 +1,14 @@
 """Word vectors: sub-words and pooling against plain versions."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codewave.operators import features
+from codewave.session import stage_table
 
 
 def fnv(text):
@@ -69,6 +73,28 @@ def test_pooling_exchanges_words_not_dimensions(spark):
     assert plan.count("REPARTITION_BY_NUM") == 2 and "FlatMapCoGroupsInArrow" in plan
 
 
+def test_pooling_exchanges_vectors_as_they_are(spark):
+    df = spark.createDataFrame([(1, 2), (1, 3), (2, 9)], "id long, idx int")
+    table = spark.createDataFrame([(2, [1.5, -1.0]), (3, [0.1, 3.0])], "idx int, embedding array<float>")
+    pooled = features.pool_embeddings(df, table, "id", 2)
+    assert "array<double>)" not in pooled._jdf.queryExecution().optimizedPlan().toString()
+    tenth = float(np.float32(0.1))
+    got = {r["id"]: r["pooled"] for r in pooled.collect()}
+    assert got == {1: [1.5, 3.0, (1.5 + tenth) / 2, 1.0], 2: [0.0] * 4}
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffles():
+        return {p for d in folders for p in Path(d.toString()).rglob("shuffle_*.data")}
+
+    df, before = spark.range(1000).repartition(4, "id"), shuffles()
+    assert stage_table(df, "t").count() == 1000
+    time.sleep(2)  # files are removed after the query has ended
+    assert len({p.name.split("_")[1] for p in shuffles() - before}) <= 1  # that of the count
+
+
 @pytest.mark.parametrize("numbers", [1 << 27, 30])
 def test_subword_vectors_exchange_words_not_runs(spark, monkeypatch, numbers):
     monkeypatch.setattr(features, "SUBWORD_NUMBERS", numbers)  # 30: the buckets are dealt into ranges
